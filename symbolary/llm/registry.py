@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from symbolary.llm import decontamination, minhash_dedup, quality_qda, sentencepiece_chunks
+from symbolary.llm import decontamination, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup
 
-_MODULES = (decontamination, minhash_dedup, sentencepiece_chunks, quality_qda)
+_MODULES = (decontamination, minhash_dedup, sentencepiece_chunks, quality_qda, substring_dedup)
 
 
 def queries() -> dict:
