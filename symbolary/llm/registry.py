@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from symbolary.llm import decontamination, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup
+from symbolary.llm import decontamination, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
 
-_MODULES = (decontamination, minhash_dedup, sentencepiece_chunks, quality_qda, substring_dedup)
+_MODULES = (url_reputation, minhash_dedup, topk_tput, decontamination, sentencepiece_chunks, quality_qda, substring_dedup)
 
 
 def queries() -> dict:
