@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from symbolary.llm import chat_quotes, decontamination, html_text, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
+from symbolary.llm import chat_quotes, decontamination, html_text, license_scan, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
 
-_MODULES = (url_reputation, html_text, minhash_dedup, topk_tput, decontamination, sentencepiece_chunks, quality_qda, chat_quotes, substring_dedup)
+_MODULES = (url_reputation, html_text, license_scan, minhash_dedup, topk_tput, decontamination, sentencepiece_chunks, quality_qda, chat_quotes, substring_dedup)
 
 
 def queries() -> dict:
