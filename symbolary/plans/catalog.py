@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from symbolary.plans import graph_queries
+
 FLAGSHIP = "match_topk"
+_MODULES = (graph_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.O.items()}
