@@ -108,3 +108,38 @@ def test_rows_only_queries(spark):
 
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_build_save_open_and_ask(spark, tmp_path):
+    from symbolary.session import Map, read_prose
+
+    root = tmp_path / "corpus"
+    for path, source in {**SOURCES, "README.md": "# Baskets\n" + "A basket holds things that a store has. " * 4, "docs/x.txt": "short"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(source)
+    Map.build(spark, str(root)).save(str(tmp_path / "map"))
+    m = Map.open(spark, str(tmp_path / "map"))
+    assert [r.id for r in m.ask("where is the basket class").orderBy("rank").collect()][0] == "shop_basket_basket"
+    assert "Basket [shop/basket.py:L5]" in m.answer("basket") and m.answer("zzz") == "nothing matches"
+    assert "basket" in {r.word for r in m.vocabulary(words=True).collect()}
+    groups, gods = m.overview()
+    assert groups.count() > 0 and gods.count() > 0
+    sections, outcome = read_prose(spark, str(root))
+    assert {(r.path, r.outcome) for r in outcome.collect()} == {("README.md", "read")} and sections.first().title == "Baskets"
+
+
+def test_streams(spark, tmp_path):
+    from symbolary.streaming.windows import hourly, keep_extracted, latest
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events.select("event_id", "ts", "event_type", "value").write.parquet(src)
+    stream = hourly(spark.readStream.schema("event_id long, ts timestamp, event_type string, value double").parquet(src))
+    q = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(events).collect()))
+    changes = str(tmp_path / "changes")
+    for source in ("def a(): pass", "def b(): pass"):
+        frame(spark, [("m.py", source)], "path string, source string").write.mode("append").parquet(changes)
+        keep_extracted(spark.readStream.schema("path string, source string").parquet(changes), out, str(tmp_path / "cp")).awaitTermination(60)
+    assert {r.label for r in latest(spark.read.parquet(out)).where("row = 'node' and kind = 'function'").collect()} == {"b"}
