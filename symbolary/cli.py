@@ -6,7 +6,7 @@ import argparse
 import sys
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="symbolary")
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build", help="scan, parse, resolve and group a folder")
@@ -54,10 +54,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(held.answer(" ".join(args.terms), args.budget, args.per_node))
     except (FileNotFoundError, ValueError) as e:
-        print(e, file=sys.stderr)
-        return 1
+        sys.exit(f"symbolary: {e}")
     return 0
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

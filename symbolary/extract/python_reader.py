@@ -22,7 +22,7 @@ def _class_of(value: ast.expr | None) -> str | None:
 
 
 def _annotated(note: ast.expr | None) -> str | None:
-    name = note.id if isinstance(note, ast.Name) else note.attr if isinstance(note, ast.Attribute) else note.value.split("[")[0].strip() if isinstance(note, ast.Constant) and isinstance(note.value, str) else ""
+    name = note.id if isinstance(note, ast.Name) else note.attr if isinstance(note, ast.Attribute) else note.value.partition("[")[0].strip() if isinstance(note, ast.Constant) and isinstance(note.value, str) else ""
     return name if name[:1].isupper() else None
 
 
@@ -71,13 +71,13 @@ def read(path: str, prefix: str, package: list[str], source: str, put: Callable[
                         put("var", scope=".".join(inner[0]), name=arg.arg, cls=cls)
         elif isinstance(node, ast.Import):
             for alias in node.names:
-                put("import", name=alias.asname or alias.name.split(".")[0], dotted=alias.name)
+                put("import", name=alias.asname or alias.name.partition(".")[0], dotted=alias.name)
                 put("site", dotted=alias.name, line=node.lineno)
         elif isinstance(node, ast.ImportFrom):
             above = package[: len(package) - node.level + 1] if node.level else []
             module = ".".join([*above, *([node.module] if node.module else [])])
             for alias in node.names:
-                put("import", name=alias.asname or alias.name, dotted=f"{module}.{alias.name}" if module else alias.name)
+                put("import", name=alias.asname or alias.name, dotted=".".join(filter(None, (module, alias.name))))
             if module:
                 put("site", dotted=module, line=node.lineno)
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
@@ -85,7 +85,7 @@ def read(path: str, prefix: str, package: list[str], source: str, put: Callable[
             for target in (node.targets if isinstance(node, ast.Assign) else [node.target]) if cls else ():
                 if isinstance(target, ast.Name):
                     put("var", scope=".".join(scope), name=target.id, cls=cls)
-                elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self" and owner:
+                elif owner and _dotted(target).startswith("self.") and isinstance(target, ast.Attribute) and _dotted(target.value) == "self":
                     put("attr", owner=owner, name=target.attr, cls=cls)
         elif isinstance(node, ast.Call):
             f = node.func

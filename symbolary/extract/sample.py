@@ -3,6 +3,6 @@
 SOURCES = {
     "shop/basket.py": '"""Baskets."""\nfrom .store import Store, find\nimport json\n\nclass Basket(Base):\n    """Holds things."""\n    def __init__(self, owner: Person):\n        self.store = Store()\n        self.fill()\n\n    def fill(self):\n        self.store.load()\n        find(1)\n        len([])\n        self.store.deep.load()\n\n    @property\n    def size(self):\n        return 1\n\n    @size.setter\n    def size(self, n):\n        check(n)\n',
     "shop/store.py": "class Base:\n    pass\n\nclass Store(Base):\n    def load(self):\n        helper()\n\ndef find(x):\n    s = Store()\n    s.load()\n    return json.dumps(x)\n\ndef helper():\n    pass\n",
-    "bad.py": "def (:\n",
     "main.go": "package main\n",
+    "bad.py": "class :\n",
 }

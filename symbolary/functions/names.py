@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Endings in the order in which one of them goes.
+_ENDINGS = "ing ed es s".split()
+#: A piece of a name.
+_PIECE = "[a-z]+|[0-9]+|[A-Z][a-z]+|[A-Z]+(?![a-z])"
 #: Question words that name nothing, in alphabetical order.
-STOPWORDS = tuple(sorted(set("""
-work works happens happen really actually defined defines define contains uses using imports calls called call
-you your we our us me my they their i it its this that there here these into onto out up down
-each any some all only also just so else then than if yes no not
-what which who why when where how do does did done can could may might must shall should will would
-a an the and or of to in on by for from with at as is are was were be been being
-""".split()) - {"call", "define", "done", "onto", "these", "being"}))
-KIND_WORDS = {"class": "class", "classes": "class", "function": "function", "functions": "function", "method": "method", "methods": "method"}
+STOPWORDS = tuple("""
+a actually all also an and any are as at be been by called calls can contains could defined defines
+did do does down each else for from happen happens here how i if imports in into is it its just may
+me might must my no not of on only or our out really shall should so some than that the then there
+they this to up us uses using was we were what when where which who why will with work works would
+yes you your
+""".split())
+KIND_WORDS = {w: k for k, more in (("class", "es"), ("function", "s"), ("method", "s")) for w in (k, k + more)}
 TEST_MARKS = ("conftest", "_spec.", "/spec", ".test.", "_test.", "test_", "/test")
 
 
@@ -23,7 +27,7 @@ def words(text: Column) -> Column:
     A part without any ASCII letter or digit stays whole.
     """
     parts = F.regexp_extract_all(text, F.lit(r"(?U)[^\W_]+"), F.lit(0))
-    pieces = lambda p: F.regexp_extract_all(p, F.lit("[A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[0-9]+"), F.lit(0))
+    pieces = lambda p: F.regexp_extract_all(p, F.lit(_PIECE), F.lit(0))
     split = F.transform(parts, lambda p: F.when(F.size(pieces(p)) > 0, pieces(p)).otherwise(F.array(p)))
     return F.coalesce(F.transform(F.flatten(split), lambda w: F.lower(w)), F.array().cast("array<string>"))
 
@@ -32,7 +36,7 @@ def stem(word: Column) -> Column:
     """A word without the ending of a plural, a past tense or a gerund, if enough of it is left."""
     n = F.length(word)
     out = F.when((n > 4) & (F.endswith(word, F.lit("ies")) | F.endswith(word, F.lit("ied"))), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
-    for end in ("ing", "ed", "es", "s"):
+    for end in _ENDINGS:
         out = out.when(F.endswith(word, F.lit(end)) & (n - len(end) >= 4), F.substring(word, F.lit(1), n - len(end)))
     return out.otherwise(word)
 
@@ -61,13 +65,13 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
-def question(terms: str) -> tuple[list[str], str | None]:
+def question(terms: str):
     """The words of a question to look up, and the kind of symbol it asks for; for a driver's few words."""
     import re
 
     found: list[str] = []
     for part in re.findall(r"[^\W_]+", terms):
-        found += [w.lower() for w in re.findall("[A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[0-9]+", part) or [part]]
+        found += [w.lower() for w in re.findall(_PIECE, part) or [part]]
     kinds = [KIND_WORDS[w] for w in found if w in KIND_WORDS]
     named = [w for w in found if w not in KIND_WORDS] or found
     kept = [w for w in named if w not in STOPWORDS and len(w) > 2] or named
@@ -80,5 +84,5 @@ def spellings(word: str) -> list[str]:
     if len(word) > 4 and word[-3:] in ("ies", "ied"):
         base = word[:-3] + "y"
     else:
-        base = next((word[: -len(e)] for e in ("ing", "ed", "es", "s") if word.endswith(e) and len(word) - len(e) >= 4), word)
+        base = next((word[: -len(e)] for e in _ENDINGS if word.endswith(e) and len(word) - len(e) >= 4), word)
     return sorted({word, base, word[:-1] if len(word) > 3 and word.endswith("s") else word})

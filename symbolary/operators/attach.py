@@ -10,7 +10,7 @@ from symbolary.operators.graph import degrees
 
 MENU, INDEX_MENTIONS, MIN_NAME, IDS, PICKS = 12, 30, 4, 4, 3
 TITLE, CODE, SHAPED, FENCED = 4, 3, 3, 1
-_FENCE, _TICKS, _NAME, _CALL = r"(?s)```.*?```", r"`([^`\n]+)`", r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", r"([A-Za-z_][A-Za-z0-9_]*)\("
+_FENCE, _TICKS, _NAME, _CALL = r"(?s)```.*?```", r"`([^`\n]+)`", r"[A-Z_a-z][0-9A-Z_a-z]*(?:\.[A-Z_a-z][0-9A-Z_a-z]*)*", r"([A-Z_a-z][0-9A-Z_a-z]*)\("
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:

@@ -108,7 +108,7 @@ def split_sections(text: str, suffix: str) -> list[tuple[str, str, int]]:
     """(title, text, line) of a document's sections: markdown headings, underlined titles, or paragraphs."""
     import re
 
-    lines = text.splitlines()
+    lines, gap = text.splitlines(), re.compile(r"\n\s*\n")
     heads: list[tuple[int, str]] = []
     if suffix in (".md", ".markdown"):
         within = False
@@ -118,15 +118,15 @@ def split_sections(text: str, suffix: str) -> list[tuple[str, str, int]]:
             elif not within and (found := re.match(r"#{1,6}\s+(.*\S)\s*$", line)):
                 heads.append((at, found[1]))
     elif suffix == ".rst":
-        rule = re.compile(r"[=\-~^\"'`*+#_:.]{2,}\s*$")
+        rule = re.compile(r"[#*+.:=^_`~\"'\-]{2,}\s*$")
         for at in range(1, len(lines)):
             title = lines[at - 1].strip()
             if rule.match(lines[at]) and title and len(lines[at].strip()) >= len(title) and not rule.match(title):
                 heads.append((at - 1, title))
 
-    def pack(title: str, body: str, line: int) -> list[tuple[str, str, int]]:
+    def pack(title, body, line):
         found, held, size, begin, at = [], [], 0, line, line
-        for piece in re.split(r"\n\s*\n", body):
+        for piece in gap.split(body):
             if size and size + len(piece) > MAX_CHARS:
                 found.append((title, "\n\n".join(held).strip(), begin))
                 held, size, begin = [], 0, at

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PROSE = ("file", "rationale", "claim", "document")
+PROSE = ("claim", "document", "file", "rationale")
 HUB_DEGREE, RESOLUTION = 40, 0.4
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-INVERSE = {"contains": "part of", "calls": "called by", "imports": "imported by", "rationale_for": "explains", "inherits": "subclassed by", "describes": "described in"}
-ORDER = {"inherits": 0, "subclassed by": 1, "calls": 2, "called by": 3, "imports": 4, "imported by": 5, "part of": 6, "contains": 7, "rationale_for": 8, "explains": 8, "describes": 9, "described in": 9}
+INVERSE = dict(calls="called by", contains="part of", describes="described in", imports="imported by", inherits="subclassed by", rationale_for="explains")
+#: What is told first; places 8 and 9 are for both directions.
+_FIRST = "inherits|subclassed by|calls|called by|imports|imported by|part of|contains".split("|")
+ORDER = {k: i for i, k in enumerate(_FIRST)} | dict.fromkeys(("explains", "rationale_for"), 8) | dict.fromkeys(("described in", "describes"), 9)
 
 
 def _map(of: dict) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Names of the interpreter, kept as they were when this was written down for plans to agree across machines.
 BUILTINS = tuple(sorted(x for x in dir(builtins) if not x.startswith("_")))
-CONTAINER_METHODS = tuple(sorted({m for t in (dict, list, set, frozenset, tuple, str, bytes) for m in dir(t) if not m.startswith("__")}))
+CONTAINER_METHODS = tuple(sorted({m for t in (bytes, dict, frozenset, list, set, str, tuple) for m in dir(t) if not m.startswith("__")}))
 
 NO_METHOD = "called on self, but no such method on the class"
 NO_ATTRIBUTE = "receiver is a self attribute of unknown type"

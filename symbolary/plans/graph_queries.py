@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-# ---- identity -----------------------------------------------------------------------------------------------------------
+# identity
 
 
 @query("ids_file_prefix", "select p_partkey, lower('src') || '_' || lower(trim(p_type, '_')) || '_' || lower(trim(p_brand, '_')) || '_' || lower(trim(replace(p_name, ' ', '.'), '_')) || '_py' as kept, "
@@ -57,7 +57,7 @@ def _(spark, d):
     return edges(spark, d).groupBy("relation", "resolved").agg(F.count("*").alias("n"))
 
 
-# ---- resolution ---------------------------------------------------------------------------------------------------------
+# resolution
 
 _SYMBOLS_SQL = "symbols as (select 'p_' || p_partkey as id, p_name as label, 'function' as kind, p_brand as prefix from part where p_partkey % 20 = 0)"
 _CALLS_SQL = "sites as (select distinct 's_' || l_suppkey as caller, p_brand as prefix, p_name as name from lineitem join part on l_partkey = p_partkey)"
@@ -161,7 +161,7 @@ def _(spark, d):
     return resolve.variable_types(writes)
 
 
-# ---- graph --------------------------------------------------------------------------------------------------------------
+# graph
 
 
 @query("dangling_edges", f"{WITH}, kept as (select * from edges where not (target like 'p_%' and substr(target, 3)::bigint % 50 = 0)) "
@@ -267,7 +267,7 @@ def _(spark, d):
     return build_report(nodes(spark, d), edges(spark, d))
 
 
-# ---- vocabulary and search ----------------------------------------------------------------------------------------------
+# vocabulary and search
 
 
 @query("words", f"select p_partkey, array_to_string({sql.words('''replace(p_brand, '#', '_') || p_name || 'HTTPServerV2 ' || p_type''')}, ' ') as words from part")
@@ -362,7 +362,7 @@ def _(spark, d):
     return search.idf(search.search_rows(nodes(spark, d)), ["rings", "box", "zebra"]).select("term", "seen", F.round("weight", 6).alias("weight"))
 
 
-# ---- rendering ----------------------------------------------------------------------------------------------------------
+# rendering
 
 _LINKS_SQL = f"""{WITH}, links as (select distinct * from (select source as id, relation, target as other from edges union all
     select target, case relation when 'contains' then 'part of' else 'called by' end, source from edges) where id in ('n_3', 'c_11', 's_4', 'p_40')),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from symbolary.functions.names import TEST_MARKS
+
 
 def words(x: str) -> str:
     """The words of a name of ASCII letters, digits and others."""
@@ -26,7 +28,7 @@ def all_forms(x: str) -> str:
 
 
 def is_test(path: str, label: str) -> str:
-    marks = " or ".join(f"contains(lower({path}), '{m}')" for m in ("/test", "test_", "_test.", ".test.", "/spec", "_spec.", "conftest"))
+    marks = " or ".join(f"contains(lower({path}), '{m}')" for m in TEST_MARKS)
     return f"({marks} or starts_with(lower({path}), 'test') or starts_with({label}, 'Test') or starts_with({label}, 'test_'))"
 
 

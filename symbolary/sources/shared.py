@@ -24,11 +24,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept where a lost executor doesn't lose them.
 
-    What they were made from is not needed any more: a collection on the driver lets Spark's cleaner delete shuffle
-    files and checkpoints that nothing refers to, which otherwise pile up on the disks of iterative jobs.
+    What earlier cuts were made from is not needed any more (this one's plan is still held by the caller): a collection
+    on the driver lets Spark's cleaner delete shuffle files and checkpoints that nothing refers to, which otherwise pile
+    up on the disks of iterative jobs.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
