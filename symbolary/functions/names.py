@@ -69,9 +69,9 @@ def question(terms: str):
     """The words of a question to look up, and the kind of symbol it asks for; for a driver's few words."""
     import re
 
-    found: list[str] = []
-    for part in re.findall(r"[^\W_]+", terms):
-        found += [w.lower() for w in re.findall(_PIECE, part) or [part]]
+    found = []
+    for part in re.split(r"[\W_]+", terms):
+        found += [] if not part else [w.lower() for w in re.findall(_PIECE, part) or [part]]
     kinds = [KIND_WORDS[w] for w in found if w in KIND_WORDS]
     named = [w for w in found if w not in KIND_WORDS] or found
     kept = [w for w in named if w not in STOPWORDS and len(w) > 2] or named
