@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolary.llm import decontamination, minhash_dedup, quality_qda, sentencepiece_chunks, substring_dedup
-from symbolary.llm.common import ensure_checkpoint_dir
+from symbolary.sources.shared import ensure_checkpoint_dir
 from symbolary.sources.tables import table
 
 #: Words of a shingle for near duplicates.
@@ -69,7 +69,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store, last = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if last is not None:  # the stage before is not read again
+            store.delete(done.suffix(f"/{last}"), True)
+        last = name
     return docs

@@ -1,13 +1,12 @@
-"""What the text operators share: shared folders, batches, word hashes."""
+"""What the text operators share: batches and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Text characters that a Python worker holds at once, besides one whole text.
 BATCH_CHARS = 4_000_000
@@ -19,25 +18,6 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the session's checkpoint folder as it is; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="symbolary-checkpoint-")
-    sc.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the rows of an Arrow batch, as rows here hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

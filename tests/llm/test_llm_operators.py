@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from symbolary.llm import chat_quotes, components, decontamination, html_text, license_scan, minhash_dedup, quality_qda, registry, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
+from symbolary.llm import chat_quotes, decontamination, html_text, license_scan, minhash_dedup, quality_qda, registry, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
 from symbolary.llm.common import WordHashes
+from symbolary.operators import components
 
 MODEL = public_tokenizers.path(sentencepiece_chunks.MODEL)
 RNG = random.Random(7)
