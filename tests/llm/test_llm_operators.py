@@ -206,6 +206,20 @@ def test_edited_passages_are_found_and_short_ones_left(spark):
     assert got == set(range(1, 60))
 
 
+def test_exact_passages_behind_many_sources_that_lack_them(spark):
+    data = []
+    for k in range(8):
+        shared = text(50, 5000 + k).split()
+        # earlier documents hold pieces of the passage, so its min-hashes, but never all of it
+        for i in range(0, 30, 2):
+            data.append((100 * k + i, f"{text(50, 6000 + 100 * k + i)} {' '.join(shared[i : i + 20])} {text(50, 7000 + 100 * k + i)}"))
+        data += [(100 * k + 90 + i, f"{text(60 + i, 8000 + 10 * k + i)} {' '.join(shared)} {text(40, 9000 + 10 * k + i)}") for i in range(2)]
+    got = {(x.id, x.source_id): (x.start, x.n_words) for x in substring_dedup.repeats(odd(spark, data)).collect()}
+    for k in range(8):
+        start, n = got[(100 * k + 91, 100 * k + 90)]
+        assert start <= 61 and start + n >= 111
+
+
 def brute_windows(tokens, t):
     """(first, last) of the largest spans of which every part of t tokens has one and the same least token, by minimum."""
     m = [min(tokens[i : i + t]) for i in range(len(tokens) - t + 1)]
