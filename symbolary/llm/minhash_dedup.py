@@ -7,8 +7,7 @@
 3. Bands of ROWS bins are bucket keys. In a bucket each member is a candidate of one centre only: the member whose
    buckets hold most rows in all (ties to the smaller id). So a bucket of n members gives n - 1 candidates.
 4. Candidates are confirmed on the full sets. Members that are not linked with their centre form a smaller bucket
-   with CENTRES centres of its own, of those that agree in a second band too, and so on until a round confirms no
-   further link.
+   with CENTRES centres of its own, and so on until no bucket has members left over.
 5. Classes are the connected components of the confirmed links.
 
 With 64 bands of 8 rows, a pair at a similarity of exactly 0.8 shares no bucket with a probability of 8e-6.
@@ -141,32 +140,16 @@ def links(reps: DataFrame, texts: DataFrame, size: int, similarity: float = SIMI
         cand = open_.join(few, "bucket").where("m > mass or (m = mass and c < id)")
         verdict = cut(_confirm(cand.select("id", "c").distinct(), texts, size, similarity))
         new = verdict.where("linked").select("id", "c")
-        first, found = found is None, new if found is None else found.unionByName(new)
-        if not first and new.isEmpty():
-            return found
+        found = new if found is None else found.unionByName(new)
         # members that no centre of the bucket is linked with
         judged = cand.join(verdict, ["id", "c"]).groupBy("bucket", "id", "mass").agg(F.max("linked").alias("linked"))
         rest = judged.where("not linked").select("bucket", "id", "mass").join(few.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
-        open_ = cut(_two_bands(rest, reps) if first else rest)
+        # each round takes its centres out of every bucket, so this ends
+        open_ = cut(rest)
         if open_.isEmpty():
             return found
 
 
-def _two_bands(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """bucket, id, mass: buckets of two bands, of members left over in a bucket of one.
-
-    Two documents that share a bucket by a common passage rarely share another one; near-duplicates share eleven at a
-    similarity of 0.8. So the members left over meet again only where a second band agrees too.
-    """
-    alone = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    # dealt evenly before each row becomes one for every band
-    held = rest.join(alone, "bucket", "left_semi").join(reps.select("id", "bands"), "id").select("id", "mass", "bucket", "bands").repartition("bucket", "id")
-    held = held.select("id", "mass", "bucket", F.explode("bands").alias("other")).where("bucket <> other")
-    pairs = held.select("id", "mass", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-    shared = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return pairs.join(shared, "bucket", "left_semi").select("bucket", "id", "mass")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable), kept (whether it is the id itself): a row for each row."""
     base = cut(signatures(docs, size, id_col, text_col))

@@ -124,6 +124,15 @@ def test_near_duplicates_are_those_of_brute_force(spark, size):
     assert minhash_dedup.near_duplicates(odd(spark, []), size=size).count() == 0
 
 
+def test_leftovers_are_judged_until_none_is_left(spark):
+    # one bucket: 40 heavier members that link with nobody, and two copies but for a word that are judged after them
+    same = text(200, 4400).split()
+    texts = {i: text(60, 4500 + i) for i in range(40)} | {40: " ".join(same), 41: " ".join([*same, "more"])}
+    reps = [(i, i, [7] + ([1000 + i // 2] if i < 40 else [])) for i in texts]
+    got = minhash_dedup.links(spark.createDataFrame(reps, "id long, key long, bands array<long>"), spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, key long, text string"), 2)
+    assert {(r.id, r.c) for r in got.collect()} == {(41, 40)}
+
+
 def test_bins_estimate_similarity():
     h = WordHashes()
     a = minhash_dedup.shingle_set(text(60, 1), 2, h)
