@@ -7,8 +7,9 @@ the only place where the window can start (positional bound), which must lie wit
 bound), and the words there are compared with the window's.
 
 Everything is DataFrame operations. The windows are broadcast if the item words, which are counted
-first, take at most BROADCAST_BYTES; beyond that they are joined by shuffling, and hot words are left
-to the skew handling of adaptive execution.
+first, take at most BROADCAST_BYTES, and a document's words then never leave its row. Beyond that places
+(id, place, word) are shuffled to the prefixes, hot words are left to the skew handling of adaptive
+execution, and the words at a candidate start are fetched afterwards, from the documents that have one.
 
 Null, empty or wordless texts have no words; such items have no windows. Items that share an id are
 windows of one item. Repeated document rows give repeated results; other columns are ignored. With an
@@ -26,7 +27,8 @@ WINDOW = 10
 BROADCAST_BYTES = 32 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, after lower-casing.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -36,7 +38,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), _BETWEEN, -1), ""), F.array().cast("array<string>"))
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -69,20 +71,29 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     prefix = _prefixes(wins, docs, text_col, small)
     held = wins.groupBy("win").agg(F.collect_set("item").alias("items")).join(prefix, "win").select("word", "off", "win", "items")
     w = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), words(docs[text_col]).alias("w"))
-    # the outer form, as the inner one has words() evaluated once more in a filter on its size; the join drops its nulls
-    places = w.select("id", "key", "w", F.posexplode_outer("w").alias("at", "word"))
-    hits = places.join(F.broadcast(held) if small else held, "word")
     start = F.col("at") - F.col("off")
-    inside = (start >= 0) & (start + F.size("win") <= F.size("w"))
-    return hits.where(inside).where(F.slice("w", start + 1, F.size("win")) == F.col("win")).select("id", "key", F.explode("items").alias("item"), start.alias("start"), F.size("win").alias("len"))
+    if small:
+        # the outer form, as the inner one has words() evaluated once more in a filter on its size; the join drops its nulls
+        hits = w.select("id", "key", "w", F.posexplode_outer("w").alias("at", "word")).join(F.broadcast(held), "word")
+        inside = hits.where((start >= 0) & (start + F.size("win") <= F.size("w")))
+        hits = inside.where(F.slice("w", start + 1, F.size("win")) == F.col("win"))
+        return hits.select("id", "key", F.explode("items").alias("item"), start.alias("start"), F.size("win").alias("len"))
+    places = w.select("id", "key", F.size("w").alias("n"), F.posexplode_outer("w").alias("at", "word"))
+    cand = places.join(held, "word").where((start >= 0) & (start + F.size("win") <= F.col("n")))
+    cand = cand.select(F.col("id").alias("i"), F.col("key").alias("k"), start.alias("s"), "win", "items").distinct()
+    some = w.join(cand.select("i", "k").distinct(), w.id.eqNullSafe(F.col("i")) & (w.key == F.col("k")), "left_semi")
+    runs = some.select("id", "key", F.explode(F.expr(f"transform(w, (x, i) -> struct(i as at, slice(w, i + 1, {window}) as run))")).alias("r")).select("id", "key", "r.at", "r.run")
+    hits = runs.join(cand, runs.id.eqNullSafe(cand.i) & (runs.key == cand.k) & (runs["at"] == cand.s))
+    hits = hits.where(F.slice("run", 1, F.size("win")) == F.col("win")).select("id", "key", "s", "win", "items").distinct()
+    return hits.select("id", "key", F.explode("items").alias("item"), F.col("s").alias("start"), F.size("win").alias("len"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each document row."""
     found = occurrences(docs, items, id_col, text_col, item_col, window)
-    hit = found.select("id", "key", F.explode(F.expr("sequence(start, start + len - 1)")).alias("at")).distinct().groupBy("id", "key").agg(F.count("*").alias("n_hit"))
-    named = found.groupBy("id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    per = hit.join(named, hit.id.eqNullSafe(named.id) & (hit.key == named.key)).select(hit.id.alias("hid"), hit.key.alias("hkey"), "n_hit", "items")
+    # what a document has of these is bounded by its length and the items
+    places = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
+    per = found.groupBy(F.col("id").alias("hid"), F.col("key").alias("hkey")).agg(F.size(F.array_distinct(places)).alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), F.size(words(docs[text_col])).cast("long").alias("n_words"))
     out = base.join(per, base.id.eqNullSafe(per.hid) & (base.key == per.hkey), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
