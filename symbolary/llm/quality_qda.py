@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over document statistics.
 
 Each text becomes a vector of transformed statistics (lengths, shares of kinds of characters,
-repetition of words and lines). The labelled rows give, for each class, a count, a mean and a
-covariance, from sums that Spark adds up over all of them; each covariance is shrunk towards the
+repetition of words and lines), in one pass. Vectors, not texts, are joined with labels. The labelled
+rows give, for each class, a count, a mean and a covariance, from sums that Spark adds up over all of them; each covariance is shrunk towards the
 pooled one and towards its diagonal. A score is the logistic function of the difference of the two
 Mahalanobis log-densities plus the log of the class shares, computed with the inverses of the
 Cholesky factors, which are made once on the driver.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symbolary.llm.common import small_batches
+from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
 
 #: Shares of the pooled covariance and of the diagonal in a class covariance.
@@ -89,15 +90,33 @@ class Model:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
+def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, x: the statistics of each row's text, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    schema = T.StructType([rows.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            flat = [v for t in batch.column("text") for v in features(t.as_py())]
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float64()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
 def _sums(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each class: count, sums and sums of products, added up by Spark; at most two rows' worth reaches the driver."""
+    """For each class of rows (y, x): count, sums and sums of products, added up by Spark; at most two rows' worth reaches the driver."""
     d = len(FEATURES)
 
     def partial(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            y = batch.column("__y").to_numpy(zero_copy_only=False)
-            x = np.array([features(t) for t in batch.column("__text").to_pylist()], float).reshape(-1, d)
+            y, x = batch.column("y").to_numpy(zero_copy_only=False), _matrix(batch.column("x"))
             for k in (0, 1):
                 one = np.c_[np.ones((y == k).sum()), x[y == k]]
                 total[k] = total.get(k, 0) + one.T @ one
@@ -111,17 +130,15 @@ def _sums(rows: DataFrame) -> dict[int, np.ndarray]:
     return {k: v.reshape(d + 1, d + 1) for k, v in out.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: bool = True) -> Model:
-    """Fit on all labelled rows; with `held_out`, without those whose crc32(id as text) mod 3 is 1.
+def fit_vectors(found: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", held_out: bool = True) -> Model:
+    """Fit on all labelled vectors (id, x); with `held_out`, without those whose crc32(id as text) mod 3 is 1.
 
-    Ids of labels are joined with documents as they are; each labelled document counts once for each label row.
+    Ids of labels are joined with those of vectors as they are; each labelled document counts once for each label row.
     """
-    small_batches(docs.sparkSession)
-    y = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("__y")).where("__y in (0, 1)")
+    y = labels.select(labels[label_id].alias("__id"), labels[label_col].cast("int").alias("y")).where("y in (0, 1)")
     if held_out:
         y = y.where(F.crc32(F.col("__id").cast("string")) % 3 != 1)
-    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).join(y, "__id").select("__y", "__text")
-    sums = _sums(rows)
+    sums = _sums(found.join(y, found.id == F.col("__id")).select("y", "x"))
     n = [sums[k][0, 0] for k in (0, 1)]
     if min(n) < 2:
         return Model(fixed=0.5 if max(n) == 0 or n[0] == n[1] else float(n[1] > n[0]))
@@ -138,6 +155,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(tuple(float(np.log(x / sum(n))) for x in n), np.array(means), np.array(whiten), tuple(logdet))
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: bool = True) -> Model:
+    """Like fit_vectors, from texts; labels name a document by a column called as that of the documents."""
+    return fit_vectors(vectors(docs, id_col, text_col), labels, id_col, label_col, held_out)
+
+
+def score_vectors(found: DataFrame, model: Model) -> DataFrame:
+    """id, score of vectors (id, x)."""
+    schema = T.StructType([found.schema["id"], T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(_matrix(batch.column("x"))))], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of docs and the score, in one pass without a shuffle; a column named like `out` is replaced."""
     small_batches(docs.sparkSession)
@@ -146,18 +179,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def scored(texts):
         import pandas as pd
 
-        x = np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))
-        return pd.Series(model.scores(x))
+        return pd.Series(model.scores(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
     return docs.withColumn(out, scored(docs[text_col]))
 
 
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    """Quality score of every document, from statistics that are computed once and kept."""
+    found = cut(vectors(table(spark, sf_dir, "documents")))
+    scored = score_vectors(found, fit_vectors(found, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES = {"op8_quality_qda": op8_quality_qda}
