@@ -1,17 +1,17 @@
-"""What the text operators share: batches and word hashes."""
+"""What the text operators share: batches, word hashes and shingle hashes, on arrays of bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Text characters that a Python worker holds at once, besides one whole text.
 BATCH_CHARS = 4_000_000
-#: Words whose hashes a Python worker keeps between batches.
-WORD_CACHE = 300_000
+#: Bytes of texts that are hashed at a time.
+SLICE = 1 << 19
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -47,24 +47,90 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word bytes to a 64-bit hash, the same on every executor."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def trim(self) -> None:
-        if len(self) > WORD_CACHE:
-            self.clear()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, other letters as they are."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: A value for each byte (that of the small letter for A-Z), and the powers of _STEP and their inverses by place.
+_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
+_VALUE[65:91] = _VALUE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = np.uint64(pow(_STEP, -1, 1 << 64))
+        _POWERS[:] = [np.r_[np.uint64(1), np.cumprod(np.full(n, x, np.uint64))] for x in (np.uint64(_STEP), inverse)]
+    return _POWERS[0], _POWERS[1]
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, without a copy, and where each value begins and the last one ends; null is empty."""
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), offsets
+
+
+def _hash(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word; marks: where texts begin."""
+    n, space = len(data), _SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[marks] = True
+    edge[0] = edge[n] = True
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= space[:-1]
+    after[:-1] |= space[1:]
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
+    up, down = _powers(max(n, SLICE))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX2), starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, A-Z lower-cased, in order, and how many words each text has.
+
+    Words stand between ASCII white space. Works on arrays of SLICE bytes and a word at a time, so its memory doesn't
+    depend on a text's length, and no word becomes an object.
+    """
+    at, end, hashes, starts = int(offsets[0]), int(offsets[-1]), [], []
+    while at < end:
+        stop = min(end, at + SLICE)
+        while stop < end:
+            blank = np.flatnonzero(_SPACE[data[at:stop]])
+            if len(blank):
+                stop = at + int(blank[-1]) + 1
+                break
+            stop = min(end, stop + SLICE)
+        marks = offsets[(offsets >= at) & (offsets <= stop)] - at
+        h, s = _hash(data[at:stop], marks)
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
+
+
+def slices(offsets: np.ndarray, limit: int = 0) -> Iterator[slice]:
+    """Consecutive slices of texts of at most `limit` bytes each (SLICE, if 0), or of one text."""
+    limit, start = limit or SLICE, 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        yield slice(start, stop)
+        start = stop
+
+
+def hashed_texts(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows, their word hashes and their numbers of words, slice by slice."""
+    data, offsets = bytes_of(column)
+    for part in slices(offsets):
+        yield (part, *word_hashes(data, offsets[part.start : part.stop + 1]))
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    """The word hashes of one text."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
 def power(k: int) -> np.uint64:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import WordHashes, small_batches
+from symbolary.llm.common import hashes_of, small_batches
 from symbolary.llm.url_reputation import host_and_path
 from symbolary.sources.tables import table
 
@@ -174,9 +174,9 @@ def _unique_runs(pages: DataFrame, schema: T.StructType) -> DataFrame:
     dealt = pages.join(groups, pages.host == groups.h).withColumn("part", F.pmod(F.xxhash64("id", "url"), F.col("groups")))
 
     def group(t: pa.Table) -> pa.Table:
-        hashes, found = WordHashes(), [blocks(x)[0] for x in t.column("html").to_pylist()]
+        found = [blocks(x)[0] for x in t.column("html").to_pylist()]
         words = [[w for b in page for w in b.split(" ")] for page in found]
-        gone = repeated([hashes.of([w.encode("utf-8", "surrogatepass") for w in page]) for page in words])
+        gone = repeated([hashes_of(" ".join(page)) for page in words])
         texts = [" ".join(np.array(page, dtype=object)[~g]) if len(page) else "" for page, g in zip(words, gone, strict=True)]
         return pa.table({"id": t.column("id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
 

@@ -4,13 +4,17 @@
    least hash. An empty bin borrows from a bin that a hash of its own number and the attempt picks, the same in
    every document, until that bin is not empty (optimal densification).
 2. Documents with the same set are one class, of which the smallest id goes on; a class links its members.
-3. Bands of ROWS bins are bucket keys. In a bucket each member is a candidate of one centre only: the member whose
-   buckets hold most rows in all (ties to the smaller id). So a bucket of n members gives n - 1 candidates.
-4. Candidates are confirmed on the full sets. Members that are not linked with their centre form a smaller bucket
-   with CENTRES centres of its own, and so on until no bucket has members left over.
-5. Classes are the connected components of the confirmed links.
+3. Bands of ROWS bins are bucket keys. In a bucket each member is a candidate of the smallest id only, so a bucket of n
+   members gives n - 1 candidates. Candidates are confirmed on the full sets.
+4. Members get the label of what they are linked with. A bucket whose members all have one label is done; so is one of
+   two members, and one of the same members as another one. In the others, members of different labels are still to
+   be compared, all of them: full sets are dealt into parts of bounded size, and a task compares two parts (the
+   members of the commonest label are not compared with one another). Only links leave a task, at most one less
+   than it has members. So every two documents that share a bucket are compared or known to be linked.
+5. Classes are the connected components of all links.
 
-With 64 bands of 8 rows, a pair at a similarity of exactly 0.8 shares no bucket with a probability of 8e-6.
+With 64 bands of 8 rows, a pair at a similarity of exactly 0.8 shares no bucket with a probability of 8e-6; that is all
+that can be missed.
 
 Null, empty and wordless texts have the empty set and link with nothing. Rows with a null id get results but take no
 part in links. Repeated rows get the same result each. Other columns are ignored, so clashing names do no harm.
@@ -22,11 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import WordHashes, by_size, mix64, power, shingle_hashes, small_batches, words_of
+from symbolary.llm.common import hashed_texts, hashes_of, mix64, power, shingle_hashes, small_batches
 from symbolary.operators.components import components
 from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
@@ -34,8 +37,10 @@ from symbolary.sources.tables import table
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Centres of a bucket after the first round.
-CENTRES = 16
+#: What a part of a bucket holds about: shingles and members.
+PART_SHINGLES, PART_MEMBERS = 1 << 17, 512
+#: Columns of a task's table of members by shingles.
+COLUMNS = 4096
 #: Attempts of the densification before the next full bin upwards is taken.
 ATTEMPTS = 200
 
@@ -44,9 +49,9 @@ _POWERS = np.array([power(i) for i in range(ROWS)])
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    return np.unique(shingle_hashes(hashes.of(words_of(text)), size))
+    return np.unique(shingle_hashes(hashes_of(text), size))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -77,77 +82,176 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     schema = T.StructType([rows.schema["id"], T.StructField("key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in by_size(texts):
+            for part, words, counts in hashed_texts(batch.column("text")):
                 n, digests, bands, ends = [], [], [], [0]
-                for text in texts[part]:
-                    s = shingle_set(text, size, hashes)
-                    n.append(len(s))
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    if len(s):
-                        bands.append(band_keys(s))
-                    ends.append(ends[-1] + BANDS * bool(len(s)))
+                for own in np.split(words, np.cumsum(counts)[:-1]):
+                    x = np.unique(shingle_hashes(own, size))
+                    n.append(len(x))
+                    digests.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
+                    if len(x):
+                        bands.append(band_keys(x))
+                    ends.append(ends[-1] + BANDS * bool(len(x)))
                 flat = np.concatenate([*bands, np.empty(0, np.uint64)]).view(np.int64)
-                cols = [batch.column(c)[part.start : part.stop] for c in ("id", "key")]
+                cols = [batch.column(c)[part] for c in ("id", "key")]
                 cols += [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                hashes.trim()
 
     return rows.mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """pairs (id, c) and linked: whether the full sets are similar enough. texts: id, text, one row for each id."""
+    """The pairs (id, c) of which the full sets are similar enough. texts: id, text, one row for each id."""
     tx, tc = texts.select(F.col("id").alias("i1"), F.col("text").alias("x")), texts.select(F.col("id").alias("i2"), F.col("text").alias("y"))
     both = pairs.join(tx, pairs.id == tx.i1).join(tc, pairs.c == tc.i2).select("id", "c", "x", "y")
-    schema = T.StructType([pairs.schema["id"], pairs.schema["c"], T.StructField("linked", T.BooleanType())])
+    schema = T.StructType([pairs.schema["id"], pairs.schema["c"]])
     percent = round(100 * similarity)
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             linked, last, held = [], None, None
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.as_py(), y.as_py()
+                y = y.as_py()
                 if last is None or y != last:
-                    last, held = y, shingle_set(y, size, hashes)
-                own = shingle_set(x, size, hashes)
+                    last, held = y, shingle_set(y, size)
+                own = shingle_set(x.as_py(), size)
                 low, high = sorted((len(own), len(held)))
                 common = len(np.intersect1d(own, held, assume_unique=True)) if 100 * low >= percent * high else 0
                 linked.append(100 * common >= percent * (low + high - common))
-                hashes.trim()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(linked, pa.bool_())], names=schema.names)
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("c").filter(keep)], names=schema.names)
 
     return both.mapInArrow(run, schema)
 
 
+def forest(sets: list[np.ndarray], side: np.ndarray, main: np.ndarray, within: bool, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (numbers) that connect all members that are linked, among pairs of sides 0 and 1 (or within side 0).
+
+    Pairs of one label, and pairs that are both main, are not compared. Shared shingles are counted by the product of
+    tables of members by shingles, COLUMNS shingles at a time; shingles of one member are left out.
+    """
+    k = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(k), sizes)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    row, at = row[several[at]], number[at[several[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((k, k), np.float32)
+    for begin in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+        table = np.zeros((k, COLUMNS), np.float32)
+        table[row[lo:hi], at[lo:hi] - begin] = 1
+        common += table @ table.T
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    linked &= label[:, None] != label[None, :]
+    linked &= ~(main[:, None] & main[None, :])
+    linked &= (side[:, None] == 0) & ((side[None, :] == 0) if within else (side[None, :] == 1))
+    root, out = list(range(k)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(int(i)), find(int(j))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(i), int(j)))
+    return out
+
+
+def _one_label(links_: DataFrame, members: DataFrame) -> DataFrame:
+    """members and label: the least id within two links, so members of one label are linked (others may be, too)."""
+    both = links_.select("id", "c").unionByName(links_.select(F.col("c").alias("id"), F.col("id").alias("c")))
+    near = cut(both.groupBy("id").agg(F.min("c").alias("near")).select(F.col("id").alias("i"), F.least("i", "near").alias("near")))
+    further = near.select(F.col("i").alias("j"), F.col("near").alias("further"))
+    named = near.join(further, near.near == further.j, "left").select("i", F.coalesce("further", "near").alias("near"))
+    return members.join(named, members.id == named.i, "left").withColumn("label", F.coalesce("near", "id")).drop("i", "near")
+
+
+def _leftovers(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, id, label, main of the buckets in which two members may still be linked. members: bucket, id."""
+    labelled = _one_label(found, members)
+    tally = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    whole = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max_by("label", F.struct("n", "label")).alias("commonest"))
+    # buckets of the same members are one
+    open_ = whole.where("n > 2 and labels > 1").groupBy("n", "x", "y").agg(F.min_by(F.struct("bucket", "commonest"), "bucket").alias("b")).select(F.col("b.bucket").alias("k"), F.col("b.commonest").alias("commonest"))
+    return labelled.join(open_, labelled.bucket == open_.k).select("bucket", "id", "label", (F.col("label") == F.col("commonest")).alias("main"))
+
+
+def _dealt(left: DataFrame) -> DataFrame:
+    """left (bucket, id, label, main, n) with task (two parts of the bucket) and side: every part meets every other, mains no mains."""
+    many = left.groupBy("bucket", "main").agg(F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_MEMBERS)).cast("int").alias("parts"))
+    parts = many.groupBy("bucket").agg(F.coalesce(F.sum(F.when(~F.col("main"), F.col("parts"))), F.lit(0)).cast("int").alias("others"), F.coalesce(F.sum(F.when(F.col("main"), F.col("parts"))), F.lit(0)).cast("int").alias("mains")).withColumnRenamed("bucket", "k")
+    rows = left.join(parts, left.bucket == parts.k).drop("k")
+    own = F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("id", "bucket"), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id", "bucket"), F.greatest("others", F.lit(1)))).cast("int")
+    # a part of others meets all parts, one of mains those of the others
+    meets = F.when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    rows = rows.withColumn("part", own).where("others > 0").withColumn("other", F.explode(meets))
+    return rows.select("bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), (F.col("part") > F.col("other")).cast("int").alias("side"), "id", "label", "main")
+
+
+def _compare(left: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """id, c: links among left (bucket, id, label, main, n), compared in tasks of bounded size."""
+    schema = T.StructType([texts.schema["id"], T.StructField("set", T.BinaryType())])
+
+    def sets(batches):
+        for batch in batches:
+            for part, words, counts in hashed_texts(batch.column("text")):
+                found = [np.unique(shingle_hashes(own, size)).tobytes() for own in np.split(words, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[part], pa.array(found, pa.binary())], names=schema.names)
+
+    named = left.select(F.col("id").alias("i")).distinct()
+    held = texts.join(named, texts.id == named.i, "left_semi").select("id", "text").mapInArrow(sets, schema).select(F.col("id").alias("i"), "set")
+    dealt = _dealt(left)
+    tasks = dealt.join(held, dealt.id == held.i).drop("i").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    percent = round(100 * similarity)
+    out = T.StructType([left.schema["id"], T.StructField("c", left.schema["id"].dataType)])
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        ids, label = rows.column("id").combine_chunks(), rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        links_ = forest(sets, rows.column("side").to_numpy(), rows.column("main").to_numpy(), rows.column("a")[0] == rows.column("b")[0], label, percent)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in links_], pa.int64())), ids.take(pa.array([j for _, j in links_], pa.int64()))], names=out.names)
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []  # rows of the task that goes on, as they are sorted by task
+        last = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "a", "b")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                now = tuple(key[:, lo])
+                if kept and now != last:
+                    yield compare(pa.Table.from_batches(kept))
+                    kept = []
+                kept, last = [*kept, batch.slice(lo, hi - lo)], now
+        if kept:
+            yield compare(pa.Table.from_batches(kept))
+
+    return tasks.mapInArrow(run, out)
+
+
 def links(reps: DataFrame, texts: DataFrame, size: int, similarity: float = SIMILARITY) -> DataFrame:
-    """id, c: confirmed links between class representatives. reps: id, key, bands. texts: id, key, text of at least these."""
+    """id, c: confirmed links between class representatives, enough to connect all that are linked.
+
+    reps: id, key, n_shingles, bands. texts: id, key, text of at least these.
+    """
     rows = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(shared, "bucket"))
-    mass = members.groupBy("id").agg(F.sum("n").alias("mass"))
-    open_ = cut(members.join(mass, "id").select("bucket", "id", "mass"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c <> last").select(F.col("bucket").alias("k"), "c")
+    members = cut(rows.join(shared, rows.bucket == shared.k).select("bucket", "id", "c"))
     # texts of candidates only; the largest table is shuffled once for this
-    texts = cut(texts.join(mass.join(reps.select("id", "key"), "id").select("id", "key"), ["id", "key"], "left_semi").select("id", "text").dropDuplicates(["id"]))
-    found: DataFrame | None = None
-    while True:
-        order = W.partitionBy("bucket").orderBy(F.desc("mass"), "id")
-        # the limit on row_number is applied before the shuffle too, so a hot bucket sends a few rows from each task
-        few = open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= (1 if found is None else CENTRES)).select("bucket", F.col("id").alias("c"), F.col("mass").alias("m"))
-        cand = open_.join(few, "bucket").where("m > mass or (m = mass and c < id)")
-        verdict = cut(_confirm(cand.select("id", "c").distinct(), texts, size, similarity))
-        new = verdict.where("linked").select("id", "c")
-        found = new if found is None else found.unionByName(new)
-        # members that no centre of the bucket is linked with
-        judged = cand.join(verdict, ["id", "c"]).groupBy("bucket", "id", "mass").agg(F.max("linked").alias("linked"))
-        rest = judged.where("not linked").select("bucket", "id", "mass").join(few.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
-        # each round takes its centres out of every bucket, so this ends
-        open_ = cut(rest)
-        if open_.isEmpty():
-            return found
+    named = members.select("id").distinct().join(reps.select("id", "key"), "id")
+    texts = cut(texts.join(named, ["id", "key"], "left_semi").select("id", "text").dropDuplicates(["id"]))
+    found = cut(_confirm(members.where("id <> c").select("id", "c").distinct(), texts, size, similarity))
+    left = cut(_leftovers(members.select("bucket", "id"), found).join(reps.select(F.col("id").alias("i"), F.col("n_shingles").alias("n")), F.col("id") == F.col("i")).drop("i"))
+    return found.unionByName(cut(_compare(left, texts, size, similarity)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -157,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     # one row for each representative, though its row may be repeated
     first = full.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")))
-    reps = first.groupBy("id").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
+    reps = first.groupBy("id").agg(F.min_by(F.struct("key", "n_shingles", "bands"), "key").alias("r")).select("id", "r.*")
     edges = links(reps, docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text")), size, similarity)
     roots = components(edges, "id", "c")
     named = classes.join(roots, classes.rep == roots.vertex, "left").select(F.col("digest").alias("d"), F.coalesce("root", "rep").alias("component"))
@@ -167,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents by two-word shingles."""
+    """Near-duplicate classes of all documents by two-word shingles, as its contract has it."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
