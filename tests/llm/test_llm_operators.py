@@ -6,13 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
 from symbolary.llm import chat_quotes, decontamination, html_text, license_scan, minhash_dedup, quality_qda, registry, sentencepiece_chunks, substring_dedup, topk_tput, url_reputation
-from symbolary.llm.common import WordHashes
+from symbolary.llm import common
 from symbolary.operators import components
 
 MODEL = public_tokenizers.path(sentencepiece_chunks.MODEL)
@@ -68,6 +69,28 @@ def test_quality(spark):
     assert quality_qda.score(odd(spark, []), one).count() == 0
 
 
+def test_quality_is_the_discriminant_by_hand(spark):
+    # a fresh document is scored by densities written out, not by Cholesky factors
+    data = [(i, text(30 + i % 50, i) if i % 2 else text(10, i) + " | | " * (i % 9)) for i in range(80)]
+    labels = [(i, i % 2) for i in range(80)]
+    model = quality_qda.fit(odd(spark, data), spark.createDataFrame(labels, "doc_id long, quality int"), held_out=False)
+    x = np.array([quality_qda.features(t) for _, t in data])
+    y = np.array([q for _, q in labels])
+    pooled = sum(np.cov(x[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / len(y)
+    density = []
+    for k in (0, 1):
+        own = (1 - quality_qda.POOLED) * np.cov(x[y == k].T, bias=True) + quality_qda.POOLED * pooled
+        own = (1 - quality_qda.DIAGONAL) * own + quality_qda.DIAGONAL * np.diag(np.diag(own)) + 1e-5 * np.eye(len(own))
+        d = x - x[y == k].mean(0)
+        density.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(own), d))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    got = {r.doc_id: r.score for r in quality_qda.score(odd(spark, data), model).collect()}
+    assert np.allclose([got[i] for i, _ in data], want, atol=1e-6)
+    found = quality_qda.vectors(odd(spark, [*ODD, *data]))
+    scores = [r.score for r in quality_qda.score_vectors(found, model).collect()]
+    assert len(scores) == len(ODD) + len(data) and all(0 <= s <= 1 for s in scores)
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality_qda.op8_quality_qda(spark, d).collect()}
@@ -80,6 +103,10 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.99
 
 
+def words_of(t):
+    return t.encode().lower().split() if t else []
+
+
 def brute_components(data, size):
     """doc id to (set size, smallest reachable id)."""
     sets = {}
@@ -124,18 +151,39 @@ def test_near_duplicates_are_those_of_brute_force(spark, size):
     assert minhash_dedup.near_duplicates(odd(spark, []), size=size).count() == 0
 
 
-def test_leftovers_are_judged_until_none_is_left(spark):
-    # one bucket: 40 heavier members that link with nobody, and two copies but for a word that are judged after them
-    same = text(200, 4400).split()
+def test_every_pair_of_a_bucket_is_judged(spark, monkeypatch):
+    # one bucket: 41 members that link with nobody, two copies but for a word, and a chain of which only neighbours link
+    same, chain = text(200, 4400).split(), text(60, 4401).split()
     texts = {i: text(60, 4500 + i) for i in range(40)} | {40: " ".join(same), 41: " ".join([*same, "more"])}
-    reps = [(i, i, [7] + ([1000 + i // 2] if i < 40 else [])) for i in texts]
-    got = minhash_dedup.links(spark.createDataFrame(reps, "id long, key long, bands array<long>"), spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, key long, text string"), 2)
-    assert {(r.id, r.c) for r in got.collect()} == {(41, 40)}
+    texts |= {50 + i: " ".join([*(f"new{k}" for k in range(5 * i)), *chain[5 * i :]]) for i in range(6)}
+    reps = [(i, i, 60, [7] + ([1000 + i // 2] if i < 40 else [])) for i in texts]
+    for members in (512, 7):
+        monkeypatch.setattr(minhash_dedup, "PART_MEMBERS", members)
+        got = minhash_dedup.links(spark.createDataFrame(reps, "id long, key long, n_shingles long, bands array<long>"), spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, key long, text string"), 2)
+        roots = {r.vertex: r.root for r in components.components(got, "id", "c").collect()}
+        assert roots == {40: 40, 41: 40, **{50 + i: 50 for i in range(6)}}
+
+
+def test_family_of_one_template(spark):
+    # 300 documents at about 0.77 of one another, with five pairs above 0.8; all of them are found, no others
+    r, base = random.Random(11), text(200, 4700).split()
+
+    def variant(words, n):
+        words = list(words)
+        for i in r.sample(range(1, len(words) - 1, 2), n):
+            words[i] = f"w{r.randrange(10**9)}"
+        return words
+
+    family = [variant(base, 13) for _ in range(295)]
+    family += [variant(family[i], 5) for i in range(5)]
+    data = [(i, " ".join(x)) for i, x in enumerate(family)]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(odd(spark, data), size=2).collect()}
+    assert got == {i: x for i, (_, x) in brute_components(data, 2).items()}
+    assert all(got[295 + i] == got[i] for i in range(5))
 
 
 def test_bins_estimate_similarity():
-    h = WordHashes()
-    a = minhash_dedup.shingle_set(text(60, 1), 2, h)
+    a = minhash_dedup.shingle_set(text(60, 1), 2)
     r = np.random.default_rng(1)
     hits = []
     for _ in range(200):
@@ -242,6 +290,62 @@ def brute_windows(tokens, t):
     return out
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    r = random.Random(1)
+    texts = [None, *("".join(r.choice("abAB \t\n\x0b\x0c\r é本z\x00\x85\xa0") for _ in range(r.randint(0, 40))) for _ in range(400)), "", "x" * 300]
+    for limit in (16, 64, common.SLICE):
+        monkeypatch.setattr(common, "SLICE", limit)
+        seen, got = {}, []
+        for _, h, n in common.hashed_texts(pa.array(texts)[1:]):
+            got += [x.tolist() for x in np.split(h, np.cumsum(n)[:-1])]
+        assert len(got) == len(texts) - 1
+        for t, hashes in zip(texts[1:], got, strict=True):
+            assert len(hashes) == len(words_of(t)) and all(seen.setdefault(w, h) == h for w, h in zip(words_of(t), hashes, strict=True))
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_anchors_are_in_every_run_of_twenty_tokens():
+    r = np.random.default_rng(8)
+    shared = r.integers(0, 2**63, 20).astype(np.uint64)
+    for _ in range(200):
+        held = []
+        for _ in range(2):
+            tokens = np.concatenate([r.integers(0, 2**63, int(r.integers(0, 40))).astype(np.uint64), shared, r.integers(0, 2**63, int(r.integers(0, 40))).astype(np.uint64)])
+            held.append(set(substring_dedup.anchors_of(tokens)[0].tolist()))
+        assert held[0] & held[1]
+
+
+def brute_repeats(data, tokens=46):
+    """Places (id, word) of passages of 50 words that an earlier id holds word by word."""
+    first, out = {}, set()
+    for i, t in sorted((i, t) for i, t in data if i is not None):
+        w = words_of(t)
+        runs = [tuple(w[k : k + tokens + 4]) for k in range(len(w) - tokens - 3)]
+        out |= {(i, k + j) for k, x in enumerate(runs) if first.get(x, i) < i for j in range(tokens + 4)}
+        for x in runs:
+            first.setdefault(x, i)
+    return out
+
+
+def test_all_word_by_word_repeats_of_the_corpus_are_covered(spark):
+    d = "/root/testdata/sf0.01"
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    covered, sources = set(), {}
+    for r in substring_dedup.op10_substring_dedup(spark, d).collect():
+        covered |= {(r.doc_id, k) for k in range(r.start, r.start + r.n_words)}
+        sources.setdefault((r.doc_id, r.source_doc_id), []).append((r.start, r.n_words, r.similarity))
+    want = brute_repeats(data)
+    assert len(want) > 10_000 and not want - covered
+    # nothing but similar passages: each has the similarity that it says with some part of its source
+    texts = {i: words_of(t) for i, t in data}
+    for (i, j), found in list(sources.items())[:200]:
+        assert j < i
+        other = {tuple(texts[j][k : k + 5]) for k in range(len(texts[j]) - 4)}
+        for start, n, similarity in found:
+            own = {tuple(texts[i][k : k + 5]) for k in range(start, start + n - 4)}
+            assert n >= 50 and len(own & other) >= 0.8 * len(own) - 1e-9 and 0.8 <= similarity <= 1
+
+
 def test_compact_windows():
     words = np.random.default_rng(3).integers(0, 2**63, 400).astype(np.uint64)
     lengths = np.array([120, 0, 49, 231], np.int64)
