@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Names of the interpreter, kept as they were when this was written down for plans to agree across machines.
-BUILTINS = tuple(sorted(x for x in dir(builtins) if not x.startswith("_")))
-CONTAINER_METHODS = tuple(sorted({m for t in (bytes, dict, frozenset, list, set, str, tuple) for m in dir(t) if not m.startswith("__")}))
+#: Names of the interpreter (Python 3.13), written down so that plans agree whichever interpreter runs them.
+BUILTINS = tuple(
+    """
+    ArithmeticError AssertionError AttributeError BaseException BaseExceptionGroup BlockingIOError BrokenPipeError
+    BufferError BytesWarning ChildProcessError ConnectionAbortedError ConnectionError ConnectionRefusedError
+    ConnectionResetError DeprecationWarning EOFError Ellipsis EncodingWarning EnvironmentError Exception
+    ExceptionGroup False FileExistsError FileNotFoundError FloatingPointError FutureWarning GeneratorExit IOError
+    ImportError ImportWarning IndentationError IndexError InterruptedError IsADirectoryError KeyError
+    KeyboardInterrupt LookupError MemoryError ModuleNotFoundError NameError None NotADirectoryError NotImplemented
+    NotImplementedError OSError OverflowError PendingDeprecationWarning PermissionError ProcessLookupError
+    PythonFinalizationError RecursionError ReferenceError ResourceWarning RuntimeError RuntimeWarning
+    StopAsyncIteration StopIteration SyntaxError SyntaxWarning SystemError SystemExit TabError TimeoutError True
+    TypeError UnboundLocalError UnicodeDecodeError UnicodeEncodeError UnicodeError UnicodeTranslateError
+    UnicodeWarning UserWarning ValueError Warning ZeroDivisionError abs aiter all anext any ascii bin bool breakpoint
+    bytearray bytes callable chr classmethod compile complex copyright credits delattr dict dir divmod enumerate eval
+    exec exit filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass
+    iter len license list locals map max memoryview min next object oct open ord pow print property quit range repr
+    reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip
+    """.split()
+)
+#: Methods of its containers and strings; a call of one that resolves to nothing is not worth a gap.
+CONTAINER_METHODS = tuple(
+    """
+    add append capitalize casefold center clear copy count decode difference difference_update discard encode
+    endswith expandtabs extend find format format_map fromhex fromkeys get hex index insert intersection
+    intersection_update isalnum isalpha isascii isdecimal isdigit isdisjoint isidentifier islower isnumeric
+    isprintable isspace issubset issuperset istitle isupper items join keys ljust lower lstrip maketrans partition
+    pop popitem remove removeprefix removesuffix replace reverse rfind rindex rjust rpartition rsplit rstrip
+    setdefault sort split splitlines startswith strip swapcase symmetric_difference symmetric_difference_update title
+    translate union update upper values zfill
+    """.split()
+)
 
 NO_METHOD = "called on self, but no such method on the class"
 NO_ATTRIBUTE = "receiver is a self attribute of unknown type"

@@ -59,18 +59,18 @@ def _(spark, d):
 
 # resolution
 
-_SYMBOLS_SQL = "symbols as (select 'p_' || p_partkey as id, p_name as label, 'function' as kind, p_brand as prefix from part where p_partkey % 20 = 0)"
-_CALLS_SQL = "sites as (select distinct 's_' || l_suppkey as caller, p_brand as prefix, p_name as name from lineitem join part on l_partkey = p_partkey)"
+_SYMBOLS_SQL = "symbols as (select 'p_' || p_partkey as id, p_name || ' ' || p_size as label, 'function' as kind, p_brand as prefix from part)"
+_CALLS_SQL = "sites as (select distinct 's_' || l_suppkey as caller, p_brand as prefix, p_name || ' ' || l_quantity::integer as name from lineitem join part on l_partkey = p_partkey)"
 
 
 def _symbols(spark, d):
-    return table(spark, d, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("p_"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("function").alias("kind"), F.col("p_brand").alias("prefix"))
+    return table(spark, d, "part").select(F.concat(F.lit("p_"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_size").alias("label"), F.lit("function").alias("kind"), F.col("p_brand").alias("prefix"))
 
 
 def _sites(spark, d):
-    line = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    line = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("int").alias("q")).distinct()
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s_"), "l_suppkey").alias("caller"), F.col("p_brand").alias("prefix"), F.col("p_name").alias("name")).distinct()
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s_"), "l_suppkey").alias("caller"), F.col("p_brand").alias("prefix"), F.concat_ws(" ", "p_name", "q").alias("name")).distinct()
 
 
 _DECIDED_SQL = f"""{_SYMBOLS_SQL}, {_CALLS_SQL},
@@ -103,10 +103,9 @@ def _(spark, d):
     return resolve.symbol_tables(_symbols(spark, d))["local"]
 
 
-@query("class_unique_home", "select p_name as label, min(p_brand) as prefix from part where p_partkey % 7 = 0 group by 1 having count(distinct p_brand) = 1")
+@query("class_unique_home", "select p_name || ' ' || p_size as label, min(p_brand) as prefix from part group by 1 having count(distinct p_brand) = 1")
 def _(spark, d):
-    rows = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("p_"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("class").alias("kind"), F.col("p_brand").alias("prefix"))
-    return resolve.symbol_tables(rows)["homes"]
+    return resolve.symbol_tables(_symbols(spark, d).withColumn("kind", F.lit("class")))["homes"]
 
 
 _SUFFIX_SQL = """
@@ -200,14 +199,14 @@ def _(spark, d):
     return graph.god_nodes(nodes(spark, d), edges(spark, d))
 
 
-_SMALL_SQL = "small as (select least(l_suppkey, l_partkey + 100000) as a, greatest(l_suppkey, l_partkey + 100000) as b from lineitem where l_partkey % 40 = 3 and l_suppkey % 3 = 1 and l_quantity > 45)"
-
-
-@query("connected_components", f"""with recursive {_SMALL_SQL}, both_ as (select a as u, b as v from small union select b, a from small),
-  reach(u, v) as (select u, u from both_ union select reach.u, both_.v from reach join both_ on reach.v = both_.u) select u as vertex, min(v) as root from reach group by 1""")
+@query("connected_components", "select c_custkey as vertex, c_custkey // 8 * 8 as root from customer union all select o_orderkey + 1000000000, o_custkey // 8 * 8 from orders")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey % 40 = 3 and l_suppkey % 3 = 1 and l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
-    return components.components(rows, "a", "b")
+    # orders hang on their customer, and customers on the one before, in chains of eight
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    chain = c.where("c_custkey % 8 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - 1).alias("b"))
+    loops = c.select(F.col("c_custkey").alias("a"), F.col("c_custkey").alias("b"))
+    linked = components.components(chain.unionByName(o.select((F.col("o_orderkey") + 1_000_000_000).alias("a"), F.col("o_custkey").alias("b"))), "a", "b")
+    return linked.unionByName(loops.select(F.col("a").alias("vertex"), F.col("b").alias("root")).join(linked.select("vertex"), "vertex", "left_anti"))
 
 
 def _by_nation(spark, d):
@@ -301,10 +300,10 @@ def _(spark, d):
     return found.orderBy(F.desc("degree"), "label").limit(60)
 
 
-@query("prose_for", "select 'p_' || (doc_id % 200) as id, string_agg(left(text, 60), ' ' order by doc_id) as prose from documents group by 1")
+@query("prose_for", "select 'p_' || (doc_id % 200) as id, string_agg(text, ' ' order by doc_id) as prose from documents group by 1")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    texts = docs.select(F.concat(F.lit("d_"), "doc_id").alias("id"), F.substring("text", 1, 60).alias("text"))
+    texts = docs.select(F.concat(F.lit("d_"), "doc_id").alias("id"), "text")
     said = docs.select(F.concat(F.lit("p_"), F.col("doc_id") % 200).alias("source"), F.concat(F.lit("d_"), "doc_id").alias("target"), F.lit("rationale_for").alias("relation"), F.col("doc_id").alias("ordinal"))
     return search.prose_for(texts, said)
 
@@ -394,11 +393,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tag.alias("tag"))
 
 
-@query("token_budget_greedy", """with recursive b as (select user_id % 40 as request, event_id as "order", greatest(1, floor(length(props || event_type) * (event_id % 7 + 1) / 4))::bigint as cost, row_number() over (partition by user_id % 40 order by event_id) as rn from events where event_id % 5 = 0),
+@query("token_budget_greedy", """with recursive b as (select user_id % 40 as request, event_id as "order", greatest(1, floor(length(props || event_type) * (event_id % 7 + 1) / 4))::bigint as cost, row_number() over (partition by user_id % 40 order by event_id) as rn from events),
   f as (select request, "order", rn, case when cost <= 300 then cost else 0 end as spent, cost <= 300 as kept from b where rn = 1
         union all select b.request, b."order", b.rn, spent + case when spent + cost <= 300 then cost else 0 end, spent + cost <= 300 from f join b on b.request = f.request and b.rn = f.rn + 1)
   select request, "order", kept from f""")
 def _(spark, d):
     text = F.length(F.concat("props", "event_type")) * (F.col("event_id") % 7 + 1)
-    blocks = table(spark, d, "events").where("event_id % 5 = 0").select((F.col("user_id") % 40).alias("request"), F.col("event_id").alias("order"), F.greatest(F.lit(1), F.floor(text / 4)).alias("cost"))
+    blocks = table(spark, d, "events").select((F.col("user_id") % 40).alias("request"), F.col("event_id").alias("order"), F.greatest(F.lit(1), F.floor(text / 4)).alias("cost"))
     return render.within_budget(blocks, "request", "order", "cost", 300)

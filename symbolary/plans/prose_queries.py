@@ -55,14 +55,14 @@ def _(spark, d):
 _LINES = "regexp_extract_all(text, '[^\n]+')"
 
 
-@query("sections_split_long", f"""with l as (select doc_id, {_LINES} as p from documents where doc_id % 3 = 0),
+@query("sections_split_long", f"""with l as (select doc_id, {_LINES} as p from documents),
   f as (select doc_id, list_reduce(list_prepend({{'out': []::varchar[], 'text': '', 'size': 0::bigint, 'n': 0}}, list_transform(p, lambda x: {{'out': []::varchar[], 'text': x, 'size': length(x)::bigint, 'n': 0}})),
     lambda s, x: {{'out': case when s.size > 0 and s.size + x.size > 1600 then list_append(s.out, s.text) else s.out end, 'text': case when s.n = 0 or (s.size > 0 and s.size + x.size > 1600) then x.text else s.text || chr(10) || chr(10) || x.text end,
       'size': case when s.size > 0 and s.size + x.size > 1600 then x.size else s.size + x.size end, 'n': s.n + 1}}) as s from l where len(p) > 0),
   t as (select doc_id, list_filter(list_transform(list_append(s.out, s.text), lambda x: trim(x, ' ')), lambda x: length(x) >= 40) as parts from f)
   select doc_id, len(parts)::integer as n_sections, list_sum(list_transform(parts, lambda x: length(x)))::bigint as chars, md5(array_to_string(parts, '|')) as digest from t where len(parts) > 0""")
 def _(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.transform(documents.packed(F.regexp_extract_all("text", F.lit("[^\n]+"), F.lit(0))), lambda x: x["text"]).alias("parts"))
+    rows = table(spark, d, "documents").select("doc_id", F.transform(documents.packed(F.regexp_extract_all("text", F.lit("[^\n]+"), F.lit(0))), lambda x: x["text"]).alias("parts"))
     chars = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return rows.where("size(parts) > 0").select("doc_id", F.size("parts").alias("n_sections"), chars.alias("chars"), F.md5(F.array_join("parts", "|")).alias("digest"))
 
@@ -70,11 +70,11 @@ def _(spark, d):
 _MARK = "list_distinct(list_transform(regexp_extract_all(text, '[^ \n]+'), lambda w: lower(w)))"
 
 
-@query("fingerprint_containment", f"""with m as (select doc_id as id, unnest(list_filter({_MARK}, lambda w: length(w) >= 12)) as mark from documents where doc_id % 2 = 0 and lang = 'en'),
+@query("fingerprint_containment", f"""with m as (select doc_id as id, unnest(list_filter({_MARK}, lambda w: length(w) >= 12)) as mark from documents),
   s as (select id, count(*) as n from m group by 1 having count(*) >= 12), p as (select a.id, b.id as "of", count(*) as common from m a join m b on a.mark = b.mark and b.id < a.id group by all)
   select id, "of", round(common / n, 6) as share from p join s using (id) where common >= 0.9 * n""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0 and lang = 'en'")
+    docs = table(spark, d, "documents")
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)), lambda w: F.lower(w)))
     marks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), F.explode(words).alias("mark")).where("length(mark) >= 12")
     return documents.contained(marks)
@@ -136,16 +136,27 @@ def _(spark, d):
     return attach.mentions(_passages(spark))
 
 
+_NAMES = "regexp_extract_all({}, '[A-Z_a-z][0-9A-Z_a-z]*([.][A-Z_a-z][0-9A-Z_a-z]*)*')"
+
+
+@query("document_mentions", f"""with t as (select doc_id as id, unnest(flatten(list_transform({_NAMES.format("source")}, lambda n: string_split(n, '.')))) as name, 4 as weight from documents
+    union all select doc_id, unnest(regexp_extract_all(text, '([A-Z_a-z][0-9A-Z_a-z]*)[(]', 1)), 3 from documents
+    union all select doc_id, unnest(list_filter(flatten(list_transform({_NAMES.format("text")}, lambda n: string_split(n, '.'))), lambda p: ((regexp_matches(p, '^[A-Z]') or regexp_matches(p, '^.+[A-Z]')) and upper(p) <> p) or contains(trim(p, '_'), '_'))), 3 from documents)
+  select id, lower(name) as name, max(weight)::integer as weight from t where length(name) >= 4 group by all""")
+def _(spark, d):
+    return attach.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))
+
+
 @query("label_index_top4", f"{WITH}, n as (select distinct id, lower(label) as name from nodes where length(label) >= 4), r as (select name, n.id, row_number() over (partition by name order by coalesce(degree, 0) desc, length(n.id), n.id)::integer as nth from n left join degree using (id)) select name, id, nth from r where nth <= 4")
 def _(spark, d):
     return attach.label_index(nodes(spark, d), edges(spark, d))
 
 
-_WORDS_IN_DOCS = "select doc_id as id, lower(split_part(p_name, ' ', 1)) || ' ' || lower(split_part(p_name, ' ', 2)) as name, (doc_id + p_partkey) % 4 + 1 as weight from documents join part on p_partkey % 61 = doc_id % 61 and p_partkey % 3 = doc_id % 3 where doc_id % 7 = 0"
+_WORDS_IN_DOCS = "select doc_id as id, lower(split_part(p_name, ' ', 1)) || ' ' || lower(split_part(p_name, ' ', 2)) as name, (doc_id + p_partkey) % 4 + 1 as weight from documents join part on p_partkey % 61 = doc_id % 61 and p_partkey % 3 = doc_id % 3"
 
 
 def _mentioned(spark, d):
-    docs, part = table(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id"), table(spark, d, "part").select("p_partkey", "p_name")
+    docs, part = table(spark, d, "documents").select("doc_id"), table(spark, d, "part").select("p_partkey", "p_name")
     both = docs.join(part, (part.p_partkey % 61 == docs.doc_id % 61) & (part.p_partkey % 3 == docs.doc_id % 3))
     return both.groupBy(F.col("doc_id").alias("id"), F.lower("p_name").alias("name")).agg(F.max((F.col("doc_id") + F.col("p_partkey")) % 4 + 1).cast("int").alias("weight"))
 
@@ -192,38 +203,37 @@ def _(spark, d):
     return attach.rejections(_judged(spark, d))
 
 
-_RANKS = "select 'c' || (user_id % 7) as corpus, 'q' || (user_id % 30) as question, event_type as answer, min(event_id % 9 + 1)::integer as rank from events where event_id % {m} = 0 group by all"
-_ASKED = "select distinct 'c' || (user_id % 7) as corpus, 'q' || (user_id % 30) as question, event_type as answer from events where event_type in ('click', 'view') or user_id % 3 = 0"
+_RANKS = "select 'c' || (user_id % 7) as corpus, 'q' || (user_id % 30) as question, event_type as answer, (sum(event_id * {m}) % 13 + 1)::integer as rank from events group by all having count(*) % 4 <> 0"
+_ASKED = "select distinct 'c' || (user_id % 7) as corpus, 'q' || (user_id % 30) as question, event_type as answer from events"
 
 
 def _ranks(spark, d, m):
     e = table(spark, d, "events")
     key = [F.concat(F.lit("c"), F.col("user_id") % 7).alias("corpus"), F.concat(F.lit("q"), F.col("user_id") % 30).alias("question"), F.col("event_type").alias("answer")]
-    got = e.where(f"event_id % {m} = 0").groupBy(*key).agg(F.min(F.col("event_id") % 9 + 1).cast("int").alias("rank"))
-    asked = e.where("event_type in ('click', 'view') or user_id % 3 = 0").select(*key).distinct()
-    return metrics.question_ranks(asked, got)
+    got = e.groupBy(*key).agg((F.sum(F.col("event_id") * m) % 13 + 1).cast("int").alias("rank"), F.count("*").alias("n")).where("n % 4 <> 0").drop("n")
+    return metrics.question_ranks(e.select(*key).distinct(), got)
 
 
 def _ranks_sql(m: int) -> str:
     return f"(select corpus, question, coalesce(min(rank), -1) as rank from ({_ASKED}) a left join ({_RANKS.format(m=m)}) r using (corpus, question, answer) group by all)"
 
 
-@query("question_scores", f"select corpus, count(*) filter (where rank = 1) as first, count(*) filter (where rank between 1 and 3) as top3, count(*) as asked from {_ranks_sql(50)} group by 1")
+@query("question_scores", f"select corpus, count(*) filter (where rank = 1) as first, count(*) filter (where rank between 1 and 3) as top3, count(*) as asked from {_ranks_sql(5)} group by 1")
 def _(spark, d):
-    return metrics.question_scores(_ranks(spark, d, 50))
+    return metrics.question_scores(_ranks(spark, d, 5))
 
 
-@query("rank_regressions", f"select corpus, question, a.rank as was, b.rank as is_ from {_ranks_sql(50)} a join {_ranks_sql(70)} b using (corpus, question) where case when b.rank < 0 then 1073741824 else b.rank end > case when a.rank < 0 then 1073741824 else a.rank end")
+@query("rank_regressions", f"select corpus, question, a.rank as was, b.rank as is_ from {_ranks_sql(5)} a join {_ranks_sql(7)} b using (corpus, question) where case when b.rank < 0 then 1073741824 else b.rank end > case when a.rank < 0 then 1073741824 else a.rank end")
 def _(spark, d):
-    return metrics.regressions(_ranks(spark, d, 50), _ranks(spark, d, 70))
+    return metrics.regressions(_ranks(spark, d, 5), _ranks(spark, d, 7))
 
 
-@query("metric_diff", """with a as (select event_type || '.' || (user_id % 5) as key, count(*) as value from events where event_id % 100 < 40 group by 1 having count(*) % 5 <> 0), b as (select event_type || '.' || (user_id % 5) as key, count(*) as value from events where event_id % 100 >= 60 group by 1 having count(*) % 7 <> 0)
+@query("metric_diff", """with a as (select event_type || '.' || (user_id % 5) as key, count(*) as value from events group by 1 having count(*) % 5 <> 0), b as (select event_type || '.' || (user_id % 5) as key, count(distinct user_id) as value from events group by 1 having count(distinct user_id) % 7 <> 0)
   select key, a.value as before, b.value as now, case when a.value is null then 'new' when b.value is null then 'gone' when a.value = b.value then 'same' else 'changed' end as change from a full join b using (key)""")
 def _(spark, d):
     key = F.concat("event_type", F.lit("."), F.col("user_id") % 5).alias("key")
-    count = lambda cond, m: table(spark, d, "events").where(cond).groupBy(key).agg(F.count("*").alias("value")).where(F.col("value") % m != 0)
-    return metrics.metric_diff(count("event_id % 100 < 40", 5), count("event_id % 100 >= 60", 7))
+    of = lambda value, m: table(spark, d, "events").groupBy(key).agg(value.alias("value")).where(F.col("value") % m != 0)
+    return metrics.metric_diff(of(F.count("*"), 5), of(F.countDistinct("user_id"), 7))
 
 
 @query("overview", f"{WITH} select label, degree as connections from nodes join degree using (id) where kind = 'class' order by degree desc, id limit 10")

@@ -40,14 +40,14 @@ def duck():
 
 
 def rows(df):
-    """The rows of a pandas frame in no order, columns by name, floats rounded, lists as text."""
+    """The rows of a pandas frame in no order, columns by name, floats rounded (whole ones as integers, as nullable integers are floats in one engine), lists as text."""
     import pandas as pd
 
     def cell(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
-            return repr(round(v, 6) + 0.0)
+            return repr(round(v, 6) + 0.0) if v % 1 else str(int(v))
         return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
 
     df = df[sorted(df.columns)]
