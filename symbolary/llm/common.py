@@ -147,3 +147,58 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for i in range(k):
         out += words[i : n - k + 1 + i] * power(i)
     return mix64(out + np.uint64(k * 0x632BE59BD9B4E019 & _MASK))
+
+
+#: Columns of a table of sets by values.
+COLUMNS = 4096
+
+
+def shared_counts(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of `rows` shares with each of `others`, all of them arrays without repeats.
+
+    It is the product of two tables of sets by values, COLUMNS values at a time; values on one side only are left out.
+    """
+    out = np.zeros((len(rows), len(others)), np.float32)
+    if not len(rows) or not len(others):
+        return out
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (rows, others)]
+    values, at = np.unique(np.concatenate([*rows, *others]), return_inverse=True)
+    split = int(sizes[0].sum())
+    there = np.zeros((2, len(values)), bool)
+    there[0, at[:split]], there[1, at[split:]] = True, True
+    both = there.all(0)
+    number = np.cumsum(both) - 1
+    placed = []
+    for n, x in zip(sizes, (at[:split], at[split:]), strict=True):
+        row = np.repeat(np.arange(len(n)), n)[both[x]]
+        x = number[x[both[x]]]
+        order = np.argsort(x, kind="stable")
+        placed.append((row[order], x[order], len(n)))
+    for begin in range(0, int(both.sum()), COLUMNS):
+        tables = []
+        for row, x, n in placed:
+            lo, hi = np.searchsorted(x, [begin, begin + COLUMNS])
+            table = np.zeros((n, min(COLUMNS, int(both.sum()) - begin)), np.float32)
+            table[row[lo:hi], x[lo:hi] - begin] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def by_task(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each task, of batches that are sorted by the tasks' integer keys."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            now = tuple(key[:, lo])
+            if kept and now != last:
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept = []
+            kept, last = [*kept, batch.slice(lo, hi - lo)], now
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import hashed_texts, hashes_of, mix64, power, shingle_hashes, small_batches
+from symbolary.llm.common import by_task, hashed_texts, hashes_of, mix64, power, shared_counts, shingle_hashes, small_batches
 from symbolary.operators.components import components
 from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
@@ -39,8 +39,6 @@ BINS = BANDS * ROWS
 SIMILARITY = 0.8
 #: What a part of a bucket holds about: shingles and members.
 PART_SHINGLES, PART_MEMBERS = 1 << 17, 512
-#: Columns of a task's table of members by shingles.
-COLUMNS = 4096
 #: Attempts of the densification before the next full bin upwards is taken.
 ATTEMPTS = 200
 
@@ -127,29 +125,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 def forest(sets: list[np.ndarray], side: np.ndarray, main: np.ndarray, within: bool, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (numbers) that connect all members that are linked, among pairs of sides 0 and 1 (or within side 0).
 
-    Pairs of one label, and pairs that are both main, are not compared. Shared shingles are counted by the product of
-    tables of members by shingles, COLUMNS shingles at a time; shingles of one member are left out.
+    Pairs of one label, and pairs that are both main, are not compared.
     """
-    k = len(sets)
+    one = np.flatnonzero(side == 0)
+    two = one if within else np.flatnonzero(side == 1)
     sizes = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(k), sizes)
-    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    several = times > 1
-    number = np.cumsum(several) - 1
-    row, at = row[several[at]], number[at[several[at]]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    common = np.zeros((k, k), np.float32)
-    for begin in range(0, int(several.sum()), COLUMNS):
-        lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
-        table = np.zeros((k, COLUMNS), np.float32)
-        table[row[lo:hi], at[lo:hi] - begin] = 1
-        common += table @ table.T
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    linked &= label[:, None] != label[None, :]
-    linked &= ~(main[:, None] & main[None, :])
-    linked &= (side[:, None] == 0) & ((side[None, :] == 0) if within else (side[None, :] == 1))
-    root, out = list(range(k)), []
+    common = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+    linked = 100 * common >= percent * (sizes[one][:, None] + sizes[two][None, :] - common)
+    linked &= label[one][:, None] != label[two][None, :]
+    linked &= ~(main[one][:, None] & main[two][None, :])
+    root, out = list(range(len(sets))), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -157,10 +142,11 @@ def forest(sets: list[np.ndarray], side: np.ndarray, main: np.ndarray, within: b
         return x
 
     for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = find(int(i)), find(int(j))
+        i, j = int(one[i]), int(two[j])
+        a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((int(i), int(j)))
+            out.append((i, j))
     return out
 
 
@@ -219,21 +205,8 @@ def _compare(left: DataFrame, texts: DataFrame, size: int, similarity: float) ->
         return pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in links_], pa.int64())), ids.take(pa.array([j for _, j in links_], pa.int64()))], names=out.names)
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []  # rows of the task that goes on, as they are sorted by task
-        last = None
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "a", "b")])
-            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                now = tuple(key[:, lo])
-                if kept and now != last:
-                    yield compare(pa.Table.from_batches(kept))
-                    kept = []
-                kept, last = [*kept, batch.slice(lo, hi - lo)], now
-        if kept:
-            yield compare(pa.Table.from_batches(kept))
+        for rows in by_task(batches, ("bucket", "a", "b")):
+            yield compare(rows)
 
     return tasks.mapInArrow(run, out)
 
