@@ -5,16 +5,17 @@ notices, adverts, forms, scripts, styles or reader comments, by tag, role, class
 hold. If there is an article (or a main element), its blocks are the text.
 
 Other pages go to the suffix array of their host: the token streams of the host's pages are concatenated, their suffixes
-are sorted by their first RUN tokens (prefix doubling), neighbours in that order that agree and lie on pages of different
-token streams are repeated substrings, and the tokens that these cover are boilerplate; the unique runs remain. Blocks
-keep their order. Pages of a host are dealt out to groups of about GROUP_PAGES pages by a hash, so that a hot host is
-many groups of bounded size, each of which sees the boilerplate that the host's pages repeat. (Removing repeated
-substrings from articles too would drop sentences that articles share, which are text; so the array decides only
-where structure doesn't.)
+are sorted by their first RUN tokens, neighbours in that order that agree and lie on pages of different token streams
+are repeated substrings, and the tokens that these cover are boilerplate; the unique runs remain. Blocks keep their
+order. The array is distributed: suffixes meet by host and first RUN tokens in an aggregate with map-side combining, so
+a host of any size is sorted as one, a hot host is many suffixes that go to all tasks, and no group of pages or suffixes
+is ever gathered. Only repeated suffixes come back to their pages. (Removing repeated substrings from articles too would
+drop sentences that articles share, which are text; so the array decides only where structure doesn't.)
 
 Character references are decoded after markup is cut; white space in a block becomes one space, blocks are trimmed and
 joined by one space. Null and empty pages have an empty text. Elements left open by a truncated page end with it.
-Repeated rows and pages with the same token stream don't count as distinct pages. Other columns are ignored.
+Repeated rows and pages with the same token stream don't count as distinct pages. A page is held whole by one task,
+however long it is. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from symbolary.llm.common import hashes_of, small_batches
+from symbolary.llm.common import hashes_of, shingle_hashes, small_batches
 from symbolary.llm.url_reputation import host_and_path
+from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
 
-#: Tokens of a substring whose repetition on another page of the host is boilerplate, and pages of a group.
-RUN, GROUP_PAGES = 16, 256
+#: Tokens of a substring whose repetition on another page of the host is boilerplate.
+RUN = 16
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -126,77 +130,75 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     return (article if landmark else everything), landmark
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each token stream, whether each token lies in a substring of `run` tokens that a different stream holds too."""
-    out = [np.zeros(len(s), bool) for s in streams]
-    first: dict[bytes, int] = {}
-    same = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
-    own = [i for i, j in enumerate(same) if i == j]
-    if not own:
-        return out
-    text = np.concatenate([streams[i] for i in own])
-    page = np.repeat(np.arange(len(own)), [len(streams[i]) for i in own])
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < run:  # ranks of substrings of twice the width, none of which crosses a page's end
-        step = min(width, run - width)
-        n = len(rank) - step
-        if n <= 0:
-            rank = np.full(len(rank), -1)
-            break
-        ok = (page[:n] == page[step:]) & (rank[:n] >= 0) & (rank[step:] >= 0)
-        pair = rank[:n][ok] * np.int64(len(text) + 1) + rank[step:][ok]
-        rank = np.full(len(rank), -1, np.int64)
-        rank[:n][ok] = np.unique(pair, return_inverse=True)[1]
-        width += step
-    order = np.argsort(rank, kind="stable")
-    order = order[rank[order] >= 0]
-    groups = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]]) if len(order) else np.empty(0, np.int64)
-    covered = np.zeros(len(text) + 1, np.int64)
-    if len(order):
-        low, high = np.minimum.reduceat(page[order], groups), np.maximum.reduceat(page[order], groups)
-        several = np.repeat(low != high, np.diff(np.r_[groups, len(order)]))
-        np.add.at(covered, order[several], 1)
-        np.add.at(covered, order[several] + run, -1)
-    covered = np.cumsum(covered)[:-1] > 0
-    begins = np.r_[0, np.cumsum([len(streams[i]) for i in own])]
-    at = {i: covered[begins[k] : begins[k + 1]] for k, i in enumerate(own)}
-    return [at[j] for j in same]
-
-
-def _schema(pages: DataFrame, id_col: str, url_col: str) -> T.StructType:
-    return T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
+def suffixes(page: str | None) -> tuple[list[str], np.ndarray]:
+    """The tokens of a page's blocks, and the hash of the first RUN tokens of each suffix that has so many."""
+    tokens = [w for b in blocks(page)[0] for w in b.split(" ")]
+    hashes = hashes_of(" ".join(tokens))
+    return tokens, shingle_hashes(hashes, RUN) if len(tokens) >= RUN else hashes[:0]
+
+
+def covered(n: int, at: list[int]) -> np.ndarray:
+    """Whether each of n tokens lies in a suffix's first RUN tokens, of suffixes that begin at these places."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.array(at, np.int64), 1)
+    np.add.at(steps, np.array(at, np.int64) + RUN, -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def _mapped(rows: DataFrame, schema: T.StructType, one) -> DataFrame:
+    """Rows of `schema` that one(row as dict of scalars) gives for each row."""
+
+    def run(batches):
+        for batch in batches:
+            out = [x for row in batch.to_pylist() for x in one(row)]
+            yield pa.RecordBatch.from_pylist(out, schema=kinds) if out else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in kinds], schema=kinds)
+
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return rows.mapInArrow(run, schema)
 
 
 def _unique_runs(pages: DataFrame, schema: T.StructType) -> DataFrame:
     """id, url, text of pages without landmarks (id, url, host, html), by the suffix array of each host."""
-    groups = pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")).withColumnRenamed("host", "h")
-    dealt = pages.join(groups, pages.host == groups.h).withColumn("part", F.pmod(F.xxhash64("id", "url"), F.col("groups")))
+    keyed = pages.withColumn("page", F.xxhash64("html"))
+    each = keyed.select("host", "page", "html").dropDuplicates(["host", "page"])
+    fields = [T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("stream", T.LongType()), T.StructField("run", T.LongType()), T.StructField("at", T.IntegerType())]
+
+    def begin(row):
+        tokens, runs = suffixes(row["html"])
+        stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
+        return ({"host": row["host"], "page": row["page"], "stream": stream, "run": r, "at": k} for k, r in enumerate(runs.view(np.int64).tolist()))
+
+    array = cut(_mapped(each, T.StructType(fields), begin))
+    several = array.groupBy(F.col("host").alias("h"), F.col("run").alias("r")).agg(F.min("stream").alias("first"), F.max("stream").alias("last")).where("first <> last")
+    gone = array.join(several, (array.host == several.h) & (array.run == several.r), "left_semi").groupBy(F.col("host").alias("h"), F.col("page").alias("p")).agg(F.collect_list("at").alias("at"))
+    held = keyed.join(gone, (keyed.host == gone.h) & (keyed.page == gone.p), "left").select("id", "url", "html", "at")
 
-    def group(t: pa.Table) -> pa.Table:
-        found = [blocks(x)[0] for x in t.column("html").to_pylist()]
-        words = [[w for b in page for w in b.split(" ")] for page in found]
-        gone = repeated([hashes_of(" ".join(page)) for page in words])
-        texts = [" ".join(np.array(page, dtype=object)[~g]) if len(page) else "" for page, g in zip(words, gone, strict=True)]
-        return pa.table({"id": t.column("id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
+    def rest(row):
+        tokens, _ = suffixes(row["html"])
+        kept = np.array(tokens, dtype=object)[~covered(len(tokens), row["at"] or [])]
+        return ({"id": row["id"], "url": row["url"], "text": " ".join(kept)},)
 
-    return dealt.groupBy("host", "part").applyInArrow(group, schema)
+    return _mapped(held, schema, rest)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars: one row for each page."""
     small_batches(pages.sparkSession, 512)
-    schema = _schema(pages, id_col, url_col)
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
     host, _ = host_and_path(pages[url_col])
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), host.alias("host"), pages[html_col].alias("html"))
-    marked = F.coalesce(F.col("html").rlike(r"(?i)<(?:article|main)[\s>/]|role=\"main\""), F.lit(True))
 
-    def run(batches):
-        for batch in batches:
-            texts = [" ".join(blocks(x)[0]) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=schema.names)
+    def structured(row):
+        found, landmark = blocks(row["html"])
+        return ({"id": row["id"], "url": row["url"], "text": " ".join(found)},) if landmark or not found else ()
+
+    def plain(row):
+        found, landmark = blocks(row["html"])
+        return (row,) if found and not landmark else ()
 
-    found = rows.where(marked).select("id", "url", "html").mapInArrow(run, schema).unionByName(_unique_runs(rows.where(~marked), schema))
+    # pages without a landmark are told by their structure, not by their text; they are kept, as three steps read them
+    others = cut(_mapped(rows, rows.schema, plain))
+    found = _mapped(rows.select("id", "url", "html"), schema, structured).unionByName(_unique_runs(others, schema))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -396,7 +396,7 @@ def test_main_text(spark):
         (4, "<article>a<div class='comments'>c</div><aside>s</aside><form>f</form><script>if (a < b) '</p>'</script><p>&lt;b&gt;</p></article>x"), (5, "<p>cut off <b unclosed"), (6, "just text &copy; here"),
         *((10 + i, f"<div>{' '.join(WORDS[:30])}</div><p>{text(20, i)}</p><div>{' '.join(WORDS[40:60])}</div>") for i in range(4)),
     ]
-    df = spark.createDataFrame([(i, f"http://h{i < 10}.com/{i}", x, None, None) for i, x in pages] + [(10, "http://h0.com/10", pages[6][1], None, None)], "page_id long, url string, html string, host string, part int")
+    df = spark.createDataFrame([(i, f"http://h{i < 10}.com/{i}", x, None, None) for i, x in pages] + [(20, "http://h0.com/10", pages[6][1], None, None)], "page_id long, url string, html string, host string, part int")
     got = {r.page_id: r for r in html_text.main_text(df).collect()}
     assert [got[i].text for i in range(1, 7)] == ["A & B xyz two lines more end", "", "", "a <b>", "cut off", "just text © here"]
     assert [got[10 + i].text for i in range(4)] == [text(20, i) for i in range(4)]
@@ -404,26 +404,49 @@ def test_main_text(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
-def test_repeated_runs_are_brute_force():
-    r = np.random.default_rng(4)
-    streams = [r.integers(0, 4, int(n)).astype(np.uint64) for n in (60, 40, 0, 5, 80)]
-    streams.append(streams[0].copy())
-    got = html_text.repeated(streams, 5)
-    for i, s in enumerate(streams):
-        want = np.zeros(len(s), bool)
-        for k in range(len(s) - 4):
-            if any(not np.array_equal(s, o) and any(np.array_equal(o[q : q + 5], s[k : k + 5]) for q in range(len(o) - 4)) for o in streams):
-                want[k : k + 5] = True
-        assert (got[i] == want).all()
+def test_unique_runs_are_brute_force(spark):
+    # pages without landmarks of two hosts, of words that often repeat; a run of 16 words on a page of another stream goes
+    r, pages = random.Random(4), []
+    pieces = [" ".join(r.choice(WORDS[:40]) for _ in range(12)) for _ in range(8)]
+    for i in range(40):
+        pages.append((i, f"http://h{i % 2}.com/{i}", "".join(f"<p>{r.choice(pieces)}</p>" for _ in range(r.randint(0, 6))) + f"<p>{text(r.randint(0, 20), 8800 + i)}</p>"))
+    pages += [(100, "http://h0.com/x", pages[0][2]), (101, "http://h1.com/y", "<!-- <article> --><script>'<main>'</script>" + pages[1][2]), (102, "http://h0.com/z", f"<p>{LONG}</p>"), (103, None, f"<p>{text(30, 1)}</p>")]
+    streams = {i: ((u or "http:///").split("/")[2], [w for b in html_text.blocks(x)[0] for w in b.split(" ")]) for i, u, x in pages}
+    want = {}
+    for i, (host, s) in streams.items():
+        others = {tuple(o[q : q + 16]) for h, o in streams.values() if h == host and o != s for q in range(len(o) - 15)}
+        gone = {k + j for k in range(len(s) - 15) if tuple(s[k : k + 16]) in others for j in range(16)}
+        want[i] = " ".join(w for k, w in enumerate(s) if k not in gone)
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and any(len(want[i].split()) < len(streams[i][1]) for i in want)
 
 
 def test_licences(spark):
-    docs = [(1, "x\nReleased under the MIT License.\ny"), (2, "All rights reserved."), (3, "He kept his driving licence."), (4, None), (5, ""), (6, LONG + "\nLicensed under the Apache License, Version 2.0."), (6, "All rights reserved."), (7, "This work is licensed under the GNU General Public License, version 3.")]
+    docs = [(1, "x\nReleased under the MIT License.\ny"), (2, "All rights reserved."), (3, "He kept his driving licence."), (4, None), (5, ""), (6, LONG + "\nLicensed under the Apache License, Version 2.0."), (6, "All rights reserved."), (7, "This work is licensed under the GNU General Public License, version 3."), (8, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following")]
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in license_scan.scan(odd(spark, docs)).collect()}
-    assert got == {(1, 1, "mit", True), (2, 0, "all_rights_reserved", True), (3, 0, "unknown", False), (6, 1, "apache", True), (6, 0, "all_rights_reserved", True), (7, 0, "gpl", True)}
+    assert {x for x in got if x[2] != "unknown"} == {(1, 1, "mit", True), (2, 0, "all_rights_reserved", True), (6, 1, "apache", True), (6, 0, "all_rights_reserved", True), (7, 0, "gpl", True), (8, 0, "bsd", True)}
     assert license_scan.scan(odd(spark, [])).count() == 0
 
 
+#: Paragraphs that the classifier was not trained on.
+HELD_OUT = [
+    ("gpl", "Distributed under the GPL v3."), ("gpl", "You can use this tool under the terms of the GNU General Public License."), ("mit", "Dieses Projekt ist unter der MIT-Lizenz veröffentlicht."), ("mit", "The code is available under the MIT license."),
+    ("cc", "Creative Commons Attribution 4.0."), ("cc", "Text: CC BY-SA 3.0"), ("cc", "Los textos se publican bajo una licencia Creative Commons Atribución."), ("apache", "Code is under the Apache-2.0 license"), ("apache", "Ce logiciel est publié sous licence Apache 2.0."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"), ("bsd", "This library is released under a BSD license."), ("all_rights_reserved", "Copyright (c) 2019 John Doe. All rights reserved."), ("all_rights_reserved", "© 2021 Verlag. Alle Rechte vorbehalten."),
+    ("all_rights_reserved", "Tous droits réservés pour tous pays."), ("mpl", "You can use it under the Mozilla Public License 2.0."), ("agpl", "Licensed under AGPL v3 (GNU Affero General Public License)."), ("lgpl", "Available under the LGPL, version 2.1."), ("cc0", "I dedicate this work to the public domain."),
+    (None, "She has a licence to sell fish on the market."), (None, "He drove without a licence for years."), (None, "The general asked the public for help."), (None, "Rights and duties are the two sides of a coin."), (None, "Der Zug fährt mit zwei Wagen nach Bremen."), (None, "Le permis de construire a été refusé."),
+    (None, "El conductor no tenía licencia."), (None, "The seats in the first row were reserved."), (None, "It was published in the spring of the year."), (None, "Th of. Inth onston of onti thor. Tionlyha by enth."), (None, "A version of the story was told by the author."), (None, "Permission to land was given at noon."),
+]
+
+
+def test_licences_of_held_out_paragraphs(spark):
+    got = {r.doc_id: r.family for r in license_scan.scan(odd(spark, [(i, t) for i, (_, t) in enumerate(HELD_OUT)])).collect()}
+    known = {i for i, (f, _) in enumerate(HELD_OUT) if f}
+    right = {i for i in known if got.get(i) == HELD_OUT[i][0]}
+    named = {i for i, f in got.items() if f != "unknown"}
+    assert len(right) >= 0.85 * len(known) and len(right) >= 0.9 * len(named) and not named - known, {HELD_OUT[i]: got.get(i) for i in (known - right) | (named - known)}
+
+
 def test_quotes(spark):
     m = [
         (1, 0, "user", "Hello there friend\nHow are you?"), (1, 1, "assistant", "On Monday X wrote:\n> Hello there friend\n> How are you?\n\nI am fine."), (1, 2, "user", ">> hello  there friend\n>> how are you?\n> I am fine.\nGood"),
