@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Text characters that a Python worker holds at once, besides one whole text.
 BATCH_CHARS = 4_000_000
@@ -127,12 +129,30 @@ def hashed_texts(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarr
         yield (part, *word_hashes(data, offsets[part.start : part.stop + 1]))
 
 
-def hashes_of(text: str | None) -> np.ndarray:
-    """The word hashes of one text."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def hashes_of(text: str | bytes | None) -> np.ndarray:
+    """The word hashes of one text, or of its bytes."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     return word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """id, packed: the texts (id, text) compressed, for tables that are kept and for joins that send texts around."""
+    schema = T.StructType([rows.schema["id"], T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data, offsets = bytes_of(batch.column("text"))
+            found = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=schema.names)
+
+    return rows.select("id", "text").mapInArrow(run, schema)
+
+
+def unpacked(x: bytes) -> bytes:
+    return zstandard.decompress(x)
+
+
 def power(k: int) -> np.uint64:
     return np.uint64(pow(_STEP, k, 1 << 64))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import by_task, hashed_texts, hashes_of, mix64, power, shared_counts, shingle_hashes, small_batches
+from symbolary.llm.common import by_task, hashed_texts, hashes_of, mix64, packed, power, shared_counts, shingle_hashes, small_batches, unpacked
 from symbolary.operators.components import components
 from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
@@ -47,7 +47,7 @@ _POWERS = np.array([power(i) for i in range(ROWS)])
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
     return np.unique(shingle_hashes(hashes_of(text), size))
 
@@ -99,8 +99,8 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (id, c) of which the full sets are similar enough. texts: id, text, one row for each id."""
-    tx, tc = texts.select(F.col("id").alias("i1"), F.col("text").alias("x")), texts.select(F.col("id").alias("i2"), F.col("text").alias("y"))
+    """The pairs (id, c) of which the full sets are similar enough. texts: id, packed, one row for each id."""
+    tx, tc = texts.select(F.col("id").alias("i1"), F.col("packed").alias("x")), texts.select(F.col("id").alias("i2"), F.col("packed").alias("y"))
     both = pairs.join(tx, pairs.id == tx.i1).join(tc, pairs.c == tc.i2).select("id", "c", "x", "y")
     schema = T.StructType([pairs.schema["id"], pairs.schema["c"]])
     percent = round(100 * similarity)
@@ -111,8 +111,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 y = y.as_py()
                 if last is None or y != last:
-                    last, held = y, shingle_set(y, size)
-                own = shingle_set(x.as_py(), size)
+                    last, held = y, shingle_set(unpacked(y), size)
+                own = shingle_set(unpacked(x.as_py()), size)
                 low, high = sorted((len(own), len(held)))
                 common = len(np.intersect1d(own, held, assume_unique=True)) if 100 * low >= percent * high else 0
                 linked.append(100 * common >= percent * (low + high - common))
@@ -187,12 +187,11 @@ def _compare(left: DataFrame, texts: DataFrame, size: int, similarity: float) ->
 
     def sets(batches):
         for batch in batches:
-            for part, words, counts in hashed_texts(batch.column("text")):
-                found = [np.unique(shingle_hashes(own, size)).tobytes() for own in np.split(words, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[part], pa.array(found, pa.binary())], names=schema.names)
+            found = [shingle_set(unpacked(x.as_py()), size).tobytes() for x in batch.column("packed")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=schema.names)
 
     named = left.select(F.col("id").alias("i")).distinct()
-    held = texts.join(named, texts.id == named.i, "left_semi").select("id", "text").mapInArrow(sets, schema).select(F.col("id").alias("i"), "set")
+    held = texts.join(named, texts.id == named.i, "left_semi").mapInArrow(sets, schema).select(F.col("id").alias("i"), "set")
     dealt = _dealt(left)
     tasks = dealt.join(held, dealt.id == held.i).drop("i").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     percent = round(100 * similarity)
@@ -221,7 +220,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int, similarity: float = SIMI
     members = cut(rows.join(shared, rows.bucket == shared.k).select("bucket", "id", "c"))
     # texts of candidates only; the largest table is shuffled once for this
     named = members.select("id").distinct().join(reps.select("id", "key"), "id")
-    texts = cut(texts.join(named, ["id", "key"], "left_semi").select("id", "text").dropDuplicates(["id"]))
+    texts = cut(packed(texts.join(named, ["id", "key"], "left_semi").select("id", "text")).dropDuplicates(["id"]))
     found = cut(_confirm(members.where("id <> c").select("id", "c").distinct(), texts, size, similarity))
     left = cut(_leftovers(members.select("bucket", "id"), found).join(reps.select(F.col("id").alias("i"), F.col("n_shingles").alias("n")), F.col("id") == F.col("i")).drop("i"))
     return found.unionByName(cut(_compare(left, texts, size, similarity)))
