@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.extract import python_reader
+from symbolary.extract import brace_reader, end_reader, python_reader
 from symbolary.functions.ids import file_prefix
 from symbolary.sources.files import LANGUAGES
 
-#: Readers by language. Others have no parser here; their files are counted as missing, not guessed at.
-READERS = {"python": python_reader}
+#: Readers by language: read(path, prefix, folders, source, put). A language without one is counted as missing.
+READERS = {"python": python_reader.read} | {x: brace_reader.reader(x) for x in brace_reader.SPECS} | {x: end_reader.reader(x) for x in end_reader.LEXES}
+#: Languages whose file ids keep the extension.
+KEEP_EXTENSION = tuple(x for x, spec in brace_reader.SPECS.items() if spec.keep_extension)
 FIELDS = "row string, path string, prefix string, ordinal long, id string, label string, kind string, line int, text string, bases array<string>, source string, target string, relation string, name string, dotted string, scope string, owner string, cls string, receiver string, receiver_is_self boolean, on_self boolean"
 
 
@@ -47,13 +49,15 @@ def extract(files: DataFrame) -> DataFrame:
                 else:
                     put("node", id=prefix, label=path.rsplit("/", 1)[-1], kind="file", line=1)
                     try:
-                        READERS[lang].read(path, prefix, path.split("/")[:-1], source or "", put)
+                        READERS[lang](path, prefix, path.split("/")[:-1], source or "", put)
                     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                         found.clear()
                         put("failed", name=type(e).__name__)
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in found], kinds.field(k).type) for k in keys], schema=kinds)
 
-    return files.select("path", file_prefix(F.col("path")).alias("prefix"), "source").mapInArrow(run, schema)
+    ends = [e for e, x in LANGUAGES.items() if x in KEEP_EXTENSION]
+    kept = F.greatest(*(F.endswith(F.lower("path"), F.lit(e)) for e in ends))
+    return files.select("path", file_prefix(F.col("path"), kept).alias("prefix"), "source").mapInArrow(run, schema)
 
 
 def graph_of(files: DataFrame, edges_too: bool = True) -> dict[str, DataFrame]:
@@ -62,7 +66,10 @@ def graph_of(files: DataFrame, edges_too: bool = True) -> dict[str, DataFrame]:
     from symbolary.sources.shared import cut
 
     rows = cut(extract(files))
-    nodes = rows.where("row = 'node'").select("id", "label", "kind", F.col("path").alias("file"), "line", "text", "bases", "prefix", "ordinal")
+    every = rows.where("row = 'node'").select("id", "label", "kind", F.col("path").alias("file"), "line", "text", "bases", "prefix", "ordinal")
+    # the first of an id, by path and place, is its node; others are reported as collisions
+    nodes = every.groupBy("id").agg(F.min_by(F.struct(*(c for c in every.columns if c != "id")), F.struct("file", "ordinal")).alias("n")).select("id", "n.*")
+    collisions = every.groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.concat("file", F.lit(":L"), "line"))).alias("places")).where("n > 1")
     prefixes = nodes.where("kind = 'file'").select("prefix").distinct()
     imported = resolve.imported_names(rows.where("row = 'import'").select("prefix", F.col("name").alias("local"), "dotted"), nodes, prefixes)
     owners = rows.where("row = 'owner'").groupBy("id", "prefix").agg(F.first("owner").alias("owner"))
@@ -73,4 +80,4 @@ def graph_of(files: DataFrame, edges_too: bool = True) -> dict[str, DataFrame]:
     held = rows.where("row = 'edge'").select("source", "target", "relation", F.lit(True).alias("resolved"), F.lit(None).cast("string").alias("reason"))
     sites = rows.where("row = 'site'").select("prefix", "dotted", "ordinal")
     edges = held.unionByName(resolve.call_edges(decided, nodes)).unionByName(resolve.import_edges(sites, prefixes)).unionByName(resolve.inherit_edges(nodes, imported))
-    return {"nodes": nodes, "edges": edges, "decided": decided, "failed": rows.where("row in ('failed', 'missing')").select("path", "row", "name")}
+    return {"nodes": nodes, "edges": edges, "decided": decided, "collisions": collisions, "failed": rows.where("row in ('failed', 'missing')").select("path", "row", "name")}

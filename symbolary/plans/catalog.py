@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from symbolary.plans import graph_queries, prose_queries
+from symbolary.plans import graph_queries, language_queries, prose_queries
 
 FLAGSHIP = "match_topk"
-_MODULES = (graph_queries, prose_queries)
+_MODULES = (graph_queries, language_queries, prose_queries)
 
 
 def queries() -> dict:
