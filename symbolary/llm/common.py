@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text characters that a Python worker holds at once, besides one whole text.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 #: Bytes of texts that are hashed at a time.
 SLICE = 1 << 19
 
@@ -135,6 +137,20 @@ def hashes_of(text: str | bytes | None) -> np.ndarray:
     return word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
+def lean(run):
+    """The same over a partition's batches; then memory goes back to the system, as workers wait for other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """id, packed: the texts (id, text) compressed, for tables that are kept and for joins that send texts around."""
     schema = T.StructType([rows.schema["id"], T.StructField("packed", T.BinaryType())])
@@ -146,7 +162,7 @@ def packed(rows: DataFrame) -> DataFrame:
             found = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=schema.names)
 
-    return rows.select("id", "text").mapInArrow(run, schema)
+    return rows.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def unpacked(x: bytes) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import by_task, hashed_texts, hashes_of, mix64, packed, power, shared_counts, shingle_hashes, small_batches, unpacked
+from symbolary.llm.common import by_task, hashed_texts, hashes_of, lean, mix64, packed, power, shared_counts, shingle_hashes, small_batches, unpacked
 from symbolary.operators.components import components
 from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                 cols += [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -119,7 +119,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("c").filter(keep)], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 def forest(sets: list[np.ndarray], side: np.ndarray, main: np.ndarray, within: bool, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -191,7 +191,7 @@ def _compare(left: DataFrame, texts: DataFrame, size: int, similarity: float) ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=schema.names)
 
     named = left.select(F.col("id").alias("i")).distinct()
-    held = texts.join(named, texts.id == named.i, "left_semi").mapInArrow(sets, schema).select(F.col("id").alias("i"), "set")
+    held = texts.join(named, texts.id == named.i, "left_semi").mapInArrow(lean(sets), schema).select(F.col("id").alias("i"), "set")
     dealt = _dealt(left)
     tasks = dealt.join(held, dealt.id == held.i).drop("i").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     percent = round(100 * similarity)
@@ -207,7 +207,7 @@ def _compare(left: DataFrame, texts: DataFrame, size: int, similarity: float) ->
         for rows in by_task(batches, ("bucket", "a", "b")):
             yield compare(rows)
 
-    return tasks.mapInArrow(run, out)
+    return tasks.mapInArrow(lean(run), out)
 
 
 def links(reps: DataFrame, texts: DataFrame, size: int, similarity: float = SIMILARITY) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolary.llm.common import small_batches
+from symbolary.llm.common import lean, small_batches
 from symbolary.sources.shared import cut
 from symbolary.sources.tables import table
 
@@ -102,7 +102,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float64()))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -125,7 +125,7 @@ def _sums(rows: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat, pa.float64())], names=["y", "at", "x"])
 
     out = {k: np.zeros((d + 1) ** 2) for k in (0, 1)}
-    for r in rows.mapInArrow(partial, "y int, at int, x double").groupBy("y", "at").agg(F.sum("x").alias("x")).collect():
+    for r in rows.mapInArrow(lean(partial), "y int, at int, x double").groupBy("y", "at").agg(F.sum("x").alias("x")).collect():
         out[r.y][r.at] = r.x
     return {k: v.reshape(d + 1, d + 1) for k, v in out.items()}
 
@@ -168,7 +168,7 @@ def score_vectors(found: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(_matrix(batch.column("x"))))], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -20,12 +20,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from symbolary.llm.common import by_size, small_batches
+from symbolary.llm.common import by_size, lean, small_batches
 from symbolary.sources.tables import table
 
 MODEL = "piece_bpe_32k.model"
-#: Chunks that a worker's table keeps between batches, and the longest that it keeps.
-TABLE_CHUNKS, TABLE_CHARS = 200_000, 64
+#: Chunks of a generation of a worker's table (it keeps two between batches), and the longest that it keeps.
+TABLE_CHUNKS, TABLE_CHARS = 50_000, 64
 
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
 
@@ -38,6 +38,7 @@ class ChunkTable:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.known: dict[str, tuple[int, str, list[int], str]] = {}
+        self.older: dict[str, tuple[int, str, list[int], str]] = {}
         self.by_chunk = self._splits()
         if self.by_chunk:
             self.blank, self.line = self.model.encode("\n")
@@ -79,20 +80,24 @@ class ChunkTable:
             found = self.model.encode([x or "" for x in texts])
             return [(len(i), ",".join(map(str, i)), [i], d) for i, d in zip(found, self.model.decode(found), strict=True)]
         split = [_CHUNK.findall(" " + x.replace("▁", " ")) if x else [] for x in texts]
-        new = set().union(*split).difference(self.known) if split else ()
-        self.add(list(new))
+        new = set().union(*split).difference(self.known) if split else set()
+        again = new.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        self.add(list(new - again))
         known, out = self.known, []
         for chunks in split:
             got = [known[c] for c in chunks]
             out.append((sum([x[0] for x in got]), ",".join([x[1] for x in got]), [x[2] for x in got], "".join([x[3] for x in got])[1:]))
-        if len(known) > TABLE_CHUNKS:
-            known.clear()
-        else:
-            for c in new:
-                if len(c) > TABLE_CHARS:
-                    known.pop(c, None)
+        for c in new:
+            if len(c) > TABLE_CHARS:
+                known.pop(c, None)
+        if len(known) > TABLE_CHUNKS:  # what is asked for again comes back from the older generation
+            self.known, self.older = {}, known
         return out
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
 
 _TABLES: dict[str, ChunkTable] = {}
 
@@ -129,8 +134,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 if texts:
                     out.append(pa.array([r[3] for r in rows]))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+        t.forget()
 
-    return docs.select(id_col, *keep, docs[text_col].alias("__text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, *keep, docs[text_col].alias("__text")).mapInArrow(lean(run), T.StructType(fields))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
