@@ -11,7 +11,7 @@ def main(argv=None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build", help="scan, parse, resolve and group a folder")
     b.add_argument("path")
-    b.add_argument("--out", default="symbolary-out/map")
+    b.add_argument("--out", help="default: symbolary-out/map below the current folder; never inside the corpus")
     for name, text in (("overview", "groups and most connected symbols"), ("vocab", "names or words that can be asked for"), ("query", "answer a question")):
         s = sub.add_parser(name, help=text)
         s.add_argument("--map", default="symbolary-out/map")
@@ -30,15 +30,16 @@ def main(argv=None) -> int:
     from pyspark.sql import SparkSession
 
     from symbolary.session import Map
+    from symbolary.sources.asks import out_path
 
     spark = SparkSession.builder.appName("symbolary").getOrCreate()
     try:
         if args.command == "build":
             built = Map.build(spark, args.path)
-            built.save(args.out)
+            built.save(out_path(args.path, args.out))
             for r in built.report().orderBy("what", "value").collect():
                 print(f"{r.what} {r.value}: {r.n}")
-            for r in built.failed.collect():
+            for r in built.failed.orderBy("path").limit(50).collect():
                 print(f"{r.row}: {r.path} ({r.name})")
             return 0
         held = Map.open(spark, args.map)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from symbolary.operators.graph import degrees
 
 MENU, INDEX_MENTIONS, MIN_NAME, IDS, PICKS = 12, 30, 4, 4, 3
+#: Tokens of a questionnaire, and characters of a passage in it.
+ASK_BUDGET, ASK_CHARS = 120_000, 1200
 TITLE, CODE, SHAPED, FENCED = 4, 3, 3, 1
 _FENCE, _TICKS, _NAME, _CALL = r"(?s)```.*?```", r"`([^`\n]+)`", r"[A-Z_a-z][0-9A-Z_a-z]*(?:\.[A-Z_a-z][0-9A-Z_a-z]*)*", r"([A-Z_a-z][0-9A-Z_a-z]*)\("
 
@@ -64,9 +66,37 @@ def menus(mentioned: DataFrame, index: DataFrame, limit: int = MENU) -> DataFram
 
 
 def digest(menu: DataFrame) -> DataFrame:
-    """digest: 16 hex digits that change with any passage's menu. Menus are hashed where they lie; one hash for each is sorted."""
+    """digest: 16 hex digits that change with any passage's menu.
+
+    Each passage's menu is hashed where it lies, and the hashes of all passages are combined by an exclusive or and a sum,
+    so that they need no order and meet in an aggregate with map-side combining.
+    """
     each = menu.groupBy("passage").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])), 256).alias("h"))
-    return each.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("passage").cast("string").alias("p"), "h"))), lambda x: F.concat(x["p"], F.lit("="), x["h"])), "\n"), 256), 1, 16).alias("digest"))
+    key = F.sha2(F.concat(F.col("passage").cast("string"), F.lit("="), "h"), 256)
+    words = [F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"w{i}") for i in range(4)]
+    whole = each.select(*words).agg(*(F.bit_xor(f"w{i}").alias(f"x{i}") for i in (0, 1)), *(F.sum(f"w{i}").alias(f"x{i}") for i in (2, 3)), F.count("*").alias("n"))
+    return whole.select(F.substring(F.sha2(F.concat_ws(",", *(F.coalesce(f"x{i}", F.lit(0)).cast("string") for i in range(4)), F.col("n").cast("string")), 256), 1, 16).alias("digest"))
+
+
+def asked(passages: DataFrame, menu: DataFrame, mentioned: DataFrame, index: DataFrame, nodes: DataFrame, budget: int = ASK_BUDGET) -> DataFrame:
+    """place, passage, block, tokens, kept: the passages worth asking about, as they are read; those that fit are kept.
+
+    passages: id, place (in reading order), path, line, title, text. A passage is as strong as the best mention of a symbol
+    in it; strong ones are bought first, ties in reading order, and one that doesn't fit is passed over.
+    """
+    from symbolary.functions.names import tokens
+    from symbolary.operators.render import within_budget
+
+    strength = mentioned.join(index.select("name").distinct(), "name", "left_semi").groupBy(F.col("id").alias("passage")).agg(F.max("weight").alias("strength"))
+    named = nodes.select(F.col("id").alias("nid"), F.concat(F.lit("- `"), "id", F.lit("`: "), "label", F.lit(" ("), "kind", F.lit(", "), "file", F.lit(":L"), F.col("line").cast("string"), F.lit(")")).alias("option"))
+    options = menu.join(named, menu.id == named.nid).groupBy("passage").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "option"))), lambda x: x["option"]), "\n").alias("options"))
+    body = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, ASK_CHARS)
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("  "), "title")).otherwise("")
+    rows = passages.join(options, passages.id == options.passage).join(strength, "passage")
+    block = F.concat(F.lit("### "), F.col("id").cast("string"), title, F.lit("\n`"), "path", F.lit(":L"), F.col("line").cast("string"), F.lit("`\n\n> "), body, F.lit("\n\nCandidates:\n"), "options")
+    rows = rows.select("place", "passage", block.alias("block"), tokens(block).alias("tokens"), F.struct((-F.col("strength")).alias("s"), "place").alias("o"))
+    bought = within_budget(rows.select(F.lit(1).alias("request"), "o", "tokens"), "request", "o", "tokens", budget)
+    return rows.join(bought.select(F.col("o.place").alias("place"), "kept"), "place").select("place", "passage", "block", "tokens", "kept")
 
 
 def judged(menu: DataFrame, answers: DataFrame) -> DataFrame:

@@ -14,6 +14,41 @@ def build_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.unionByName(by)
 
 
+def measure(nodes: DataFrame, edges: DataFrame, member: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """key, value: what a build consists of, one row for each number; parts of a number have its name before a dot.
+
+    edges: source, target, relation, resolved, reason. member: id, group.
+    """
+    one = lambda df, key, value: df.agg(value.cast("long").alias("value")).select(F.lit(key).alias("key"), "value")
+    by = lambda df, key, column: df.groupBy(column).agg(F.count("*").alias("value")).select(F.concat(F.lit(f"{key}."), F.col(column).cast("string")).alias("key"), "value")
+    ids = nodes.groupBy("id").agg(F.count("*").alias("n"))
+    loose = edges.where("resolved").join(ids.select(F.col("id").alias("target")), "target", "left_anti")
+    rows = [
+        one(nodes, "nodes_total", F.count("*")), one(nodes, "files_parsed", F.count_if(F.col("kind") == "file")), by(nodes, "nodes_by_kind", "kind"), one(ids, "ids_unique", F.count("*")), one(ids, "id_collisions", F.count_if(F.col("n") > 1)),
+        one(edges, "edges_total", F.count("*")), one(edges, "edges_unresolved", F.count_if(~F.col("resolved"))), by(edges, "edges_by_relation", "relation"), one(loose, "dangling_edges", F.count("*")),
+        by(edges.where("resolved and reason is not null"), "resolved_by_rule", "reason"), by(edges.where("not resolved and reason is not null"), "refusals_by_reason", "reason"),
+        one(member, "shape.groups", F.countDistinct("group")), one(ids.join(member.select("id"), "id", "left_anti"), "shape.ungrouped", F.count("*")),
+    ]
+    if failed is not None:
+        rows.append(one(failed, "files_failed", F.count("*")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def benchmark_scores(expected: DataFrame, ranked: DataFrame, top: int = 3) -> DataFrame:
+    """repo, asked, right_file, right_function: how many problems have an expected file or function among the first answers.
+
+    expected: repo, problem, file, function. ranked: problem, rank, file, function.
+    """
+    first = ranked.where(F.col("rank") <= top).select("problem", F.col("file").alias("f"), F.col("function").alias("n")).distinct()
+    held = expected.join(first, "problem", "left").groupBy("repo", "problem").agg(
+        F.max(F.coalesce(F.col("f") == F.col("file"), F.lit(False))).alias("file"), F.max(F.coalesce((F.col("f") == F.col("file")) & (F.col("n") == F.col("function")), F.lit(False))).alias("function"),
+    )
+    return held.groupBy("repo").agg(F.count("*").alias("asked"), F.count_if("file").alias("right_file"), F.count_if("function").alias("right_function"))
+
+
 def metric_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """key, before, now, change (new, gone, same or changed) of metrics (key, value)."""
     a, b = before.select("key", F.col("value").alias("before")), now.select("key", F.col("value").alias("now"))

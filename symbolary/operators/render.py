@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,14 +53,40 @@ def provenance(file: Column, line: Column, origin: Column, resolved: Column, rea
 def within_budget(blocks: DataFrame, request: str, order: str, cost: str, budget: int) -> DataFrame:
     """request, order, kept: greedy by order; a block that doesn't fit is passed over, later smaller ones may still fit.
 
-    A request's blocks are few (they are what an answer shows), so one fold over their array is one task's work.
+    What fits depends on what was taken before, so a request is one fold: its rows (no texts) stream through a task in order.
     """
-    held = blocks.groupBy(request).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<struct<o:bigint,kept:boolean>>").alias("out"))
+    rows = blocks.select(request, order, F.col(cost).cast("long").alias("__cost")).repartition(request).sortWithinPartitions(request, order)
+    schema = rows.select(request, order).schema.add("kept", "boolean")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, spent = None, 0
+        for batch in batches:
+            kept = []
+            for of, c in zip(batch.column(request).to_pylist(), batch.column("__cost").to_pylist(), strict=True):
+                if (of,) != last:
+                    last, spent = (of,), 0
+                kept.append(spent + c <= budget)
+                spent += c * kept[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(request), batch.column(order), pa.array(kept, pa.bool_())], names=[request, order, "kept"])
+
+    return rows.mapInArrow(fold, schema)
 
-    def step(state: Column, x: Column) -> Column:
-        fits = state["spent"] + x["c"] <= budget
-        return F.struct((state["spent"] + F.when(fits, x["c"]).otherwise(0)).alias("spent"), F.concat(state["out"], F.array(F.struct(x["o"].cast("long").alias("o"), fits.alias("kept")))).alias("out"))
 
-    folded = held.select(request, F.aggregate("all", zero, step)["out"].alias("out"))
-    return folded.select(request, F.explode("out").alias("x")).select(request, F.col("x.o").alias(order), F.col("x.kept").alias("kept"))
+def shown_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, group_name: the group that an answer names with a symbol, null where it would say nothing.
+
+    groups: id, name, named_folder, size of each member's group. A group of more than 200 symbols that is at least 15 % of
+    all tells nothing, nor does one that is named after another folder than the symbol's own.
+    """
+    whole = nodes.agg(F.count("*").alias("all"))
+    own = F.regexp_extract("file", r"([^/]*)/[^/]*$", 1)
+    rows = nodes.select("id", own.alias("own")).join(groups.select("id", "name", "named_folder", "size"), "id", "left").join(F.broadcast(whole))
+    vast = (F.col("size") > 200) & (F.col("size") >= 0.15 * F.col("all"))
+    elsewhere = (F.col("named_folder") != "") & (F.regexp_extract("named_folder", r"([^/]*)$", 1) != F.col("own"))
+    return rows.select("id", F.when(~vast & ~elsewhere, F.col("name")).alias("group_name"))
+
+
+def snippet(text: Column, most: int = 110) -> Column:
+    """The beginning of a text on one line, cut behind `most` characters."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symbolary.extract.engine import extract, graph_of
-from symbolary.extract.sample import LANGUAGE_SOURCES
+from symbolary.extract.sample import LANGUAGE_SOURCES, SOURCES
 
 Q: dict = {}
 O: dict = {}
@@ -349,3 +349,29 @@ def language_edges(spark, d):
 
 Q["language_edges"] = language_edges
 O["language_edges"] = f"select * from (values {_values(EDGES)}) t(source, relation, target, reason)"
+
+
+#: The resolver's whole cascade on the Python files of the small corpus: caller, name, target, reason.
+CALLS: list[tuple] = [
+    ('shop_basket_basket', 'check', '', 'not defined in this corpus (builtin or third party)'),
+    ('shop_basket_basket___init__', 'Store', 'shop_store_store', 'imported'),
+    ('shop_basket_basket___init__', 'fill', 'shop_basket_basket_fill', 'self-method'),
+    ('shop_basket_basket_fill', 'find', 'shop_store_find', 'imported'),
+    ('shop_basket_basket_fill', 'len', '', 'python builtin'),
+    ('shop_basket_basket_fill', 'load', '', 'receiver type unknown'),
+    ('shop_basket_basket_fill', 'load', 'shop_store_store_load', 'self-attribute-typed'),
+    ('shop_store_find', 'Store', 'shop_store_store', 'same file'),
+    ('shop_store_find', 'dumps', '', 'receiver type unknown'),
+    ('shop_store_find', 'load', 'shop_store_store_load', 'receiver-typed'),
+    ('shop_store_store_load', 'helper', 'shop_store_helper', 'same file'),
+]
+
+
+def python_calls(spark, d):
+    """Every rule of the cascade: of self, of an attribute of self, of a receiver, of an import, of the interpreter, of the corpus."""
+    files = spark.createDataFrame(sorted(SOURCES.items()), "path string, source string")
+    return graph_of(files)["decided"].select("caller", "name", F.coalesce("target", F.lit("")).alias("target"), "reason")
+
+
+Q["python_calls"] = python_calls
+O["python_calls"] = f"select * from (values {_values(CALLS)}) t(caller, name, target, reason)"

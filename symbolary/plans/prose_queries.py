@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symbolary.functions import names
 from symbolary.operators import attach, documents, graph, metrics
-from symbolary.plans.driver_graph import WITH, edges, nodes
+from symbolary.plans.driver_graph import NODES_SQL, WITH, edges, nodes
 from symbolary.sources.files import code_paths
 from symbolary.sources.tables import table
 
@@ -173,12 +173,29 @@ def _(spark, d):
     return attach.menus(_mentioned(spark, d), attach.label_index(nodes(spark, d), edges(spark, d)))
 
 
-@query("ask_digest", f"""{_MENU_SQL}, e as (select passage, sha256('["' || string_agg(id, '","' order by place) || '"]') as h from menu group by 1)
-  select substr(sha256(string_agg(passage || '=' || h, chr(10) order by passage::varchar)), 1, 16) as digest from e""")
+@query("ask_digest", f"""{_MENU_SQL}, e as (select passage, sha256('["' || string_agg(id, '","' order by place) || '"]') as h from menu group by 1),
+  k as (select sha256(passage || '=' || h) as h from e), w as (select ('0x' || substr(h, 1, 8))::bigint as a, ('0x' || substr(h, 9, 8))::bigint as b, ('0x' || substr(h, 17, 8))::bigint as c, ('0x' || substr(h, 25, 8))::bigint as d from k)
+  select substr(sha256(coalesce(bit_xor(a), 0) || ',' || coalesce(bit_xor(b), 0) || ',' || coalesce(sum(c), 0)::bigint || ',' || coalesce(sum(d), 0)::bigint || ',' || count(*)), 1, 16) as digest from w""")
 def _(spark, d):
     return attach.digest(Q["candidate_menu"](spark, d))
 
 
+@query("ask_blocks", f"""{_MENU_SQL.replace("with nodes", "with recursive nodes", 1).replace("with " + chr(10), "with recursive " + chr(10), 1)},
+  strength as (select id as passage, max(weight) as strength from ment where name in (select name from idx) group by 1),
+  opts as (select m.passage, string_agg('- `' || n.id || '`: ' || label || ' (' || kind || ', ' || file || ':L' || line || ')', chr(10) order by m.place) as options from menu m join nodes n on n.id = m.id group by 1),
+  blocks as (select doc_id as place, passage, strength, greatest(1, floor(length('### ' || passage || '  ' || lang || chr(10) || '`' || source || '.md:L' || (doc_id % 50 + 1) || '`' || chr(10) || chr(10) || '> '
+      || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1200) || chr(10) || chr(10) || 'Candidates:' || chr(10) || options) / 4))::bigint as tokens from opts join strength using (passage) join documents on doc_id = passage),
+  o as (select *, row_number() over (order by strength desc, place) as rn from blocks),
+  f as (select rn, case when tokens <= 120000 then tokens else 0 end as spent, tokens <= 120000 as kept from o where rn = 1
+        union all select o.rn, spent + case when spent + o.tokens <= 120000 then o.tokens else 0 end, spent + o.tokens <= 120000 from f join o on o.rn = f.rn + 1)
+  select place, passage, tokens, kept from o join f using (rn)""")
+def _(spark, d):
+    passages = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), F.concat("source", F.lit(".md")).alias("path"), (F.col("doc_id") % 50 + 1).alias("line"), F.col("lang").alias("title"), "text")
+    n, e, said = nodes(spark, d), edges(spark, d), _mentioned(spark, d)
+    index = attach.label_index(n, e)
+    return attach.asked(passages, attach.menus(said, index), said, index, n).select("place", "passage", "tokens", "kept")
+
+
 _ANSWERS = "answers as (select passage, case when passage % 5 = 1 then null else list(case when place % 4 = 3 then 'p_0' when place % 5 = 4 then null else ' ' || id end) end as picks from menu where passage % 3 <> 0 group by passage)"
 _JUDGED = f"""{_ANSWERS}, got as (select m.passage, a.picks, a.passage is not null as answered from (select distinct passage from menu) m left join answers a using (passage)),
   picks as (select passage, trim(unnest(picks)) as id from got where picks is not null),
@@ -236,6 +253,51 @@ def _(spark, d):
     return metrics.metric_diff(of(F.count("*"), 5), of(F.countDistinct("user_id"), 7))
 
 
+_MEMBER = "member as (select id, line % 40 as g from nodes where kind in ('class', 'function'))"
+
+
+@query("measure", f"""{WITH}, {_MEMBER}, u as (select distinct id from nodes)
+  select 'nodes_total' as key, count(*) as value from nodes union all select 'files_parsed', count(*) from nodes where kind = 'file' union all select 'nodes_by_kind.' || kind, count(*) from nodes group by kind
+  union all select 'ids_unique', count(*) from u union all select 'id_collisions', count(*) from (select id from nodes group by 1 having count(*) > 1)
+  union all select 'edges_total', count(*) from edges union all select 'edges_unresolved', count(*) from edges where not resolved union all select 'edges_by_relation.' || relation, count(*) from edges group by relation
+  union all select 'dangling_edges', count(*) from edges where resolved and target not in (select id from u)
+  union all select 'resolved_by_rule.' || relation, count(*) from edges where resolved group by relation union all select 'refusals_by_reason.' || relation, count(*) from edges where not resolved group by relation
+  union all select 'shape.groups', count(distinct g) from member union all select 'shape.ungrouped', count(*) from u where id not in (select id from member)""")
+def _(spark, d):
+    n = nodes(spark, d)
+    member = n.where("kind in ('class', 'function')").select("id", (F.col("line") % 40).alias("group"))
+    return metrics.measure(n, edges(spark, d).withColumn("reason", F.col("relation")), member)
+
+
+@query("shown_groups", f"""with {NODES_SQL}, g as (select id, 'g' || line % 9 as name, case when line % 3 = 0 then '' else 'x/' || file end as folder, count(*) over (partition by kind, line % 9) as size from nodes),
+  a as (select count(*) as n from nodes) select nodes.id, case when not (size > 200 and size >= 0.15 * n) and not (folder <> '' and regexp_extract(folder, '([^/]*)$', 1) <> nodes.file) then name end as group_name from nodes join g using (id), a""")
+def _(spark, d):
+    from symbolary.operators import render
+
+    n = nodes(spark, d)
+    sizes = n.groupBy("kind", (F.col("line") % 9).alias("g")).agg(F.count("*").alias("size"))
+    groups = n.withColumn("g", F.col("line") % 9).join(sizes, ["kind", "g"]).select("id", F.concat(F.lit("g"), "g").alias("name"), F.when(F.col("line") % 3 == 0, "").otherwise(F.concat(F.lit("x/"), "file")).alias("named_folder"), "size")
+    return render.shown_groups(groups, n.withColumn("file", F.concat("file", F.lit("/a.py"))))
+
+
+@query("snippets", "with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as x from documents) select doc_id, case when length(x) > 110 then rtrim(left(x, 110)) || '...' else x end as snippet from t")
+def _(spark, d):
+    from symbolary.operators import render
+
+    return table(spark, d, "documents").select("doc_id", render.snippet(F.col("text")).alias("snippet"))
+
+
+@query("benchmark_scores", """with x as (select 'r' || user_id % 5 as repo, event_id as problem, 'f' || user_id % 11 as file, event_type as fn from events),
+  k as (select event_id + s as problem, s as rank, 'f' || (user_id + s) % 11 as file, event_type as fn from events, (select unnest([1, 2, 3, 4, 5]) as s)),
+  p as (select repo, x.problem, bool_or(coalesce(k.file = x.file, false)) as f, bool_or(coalesce(k.file = x.file and k.fn = x.fn, false)) as n from x left join k on k.problem = x.problem and rank <= 3 group by all)
+  select repo, count(*) as asked, count(*) filter (where f) as right_file, count(*) filter (where n) as right_function from p group by 1""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    expected = e.select(F.concat(F.lit("r"), F.col("user_id") % 5).alias("repo"), F.col("event_id").alias("problem"), F.concat(F.lit("f"), F.col("user_id") % 11).alias("file"), F.col("event_type").alias("function"))
+    ranked = e.select("event_id", "user_id", "event_type", F.explode(F.array(*map(F.lit, range(1, 6)))).alias("rank")).select((F.col("event_id") + F.col("rank")).alias("problem"), "rank", F.concat(F.lit("f"), (F.col("user_id") + F.col("rank")) % 11).alias("file"), F.col("event_type").alias("function"))
+    return metrics.benchmark_scores(expected, ranked)
+
+
 @query("overview", f"{WITH} select label, degree as connections from nodes join degree using (id) where kind = 'class' order by degree desc, id limit 10")
 def _(spark, d):
     n = nodes(spark, d).where("kind = 'class'")

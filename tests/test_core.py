@@ -1,6 +1,10 @@
 """Operators on fixtures, order independence, and what SQL can't express."""
 
+import json
+import os
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +147,46 @@ def test_streams(spark, tmp_path):
         frame(spark, [("m.py", source)], "path string, source string").write.mode("append").parquet(changes)
         keep_extracted(spark.readStream.schema("path string, source string").parquet(changes), out, str(tmp_path / "cp")).awaitTermination(60)
     assert {r.label for r in latest(spark.read.parquet(out)).where("row = 'node' and kind = 'function'").collect()} == {"b"}
+
+
+def test_without_the_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    for pipeline in (False, True):
+        if pipeline:
+            shutil.copy(root / "corpus_pipeline.py", copy)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'match_topk' in q and 'pipeline' not in q and set(o) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_deep(spark, tmp_path):
+    from symbolary.session import Map
+
+    built = Map.of(frame(spark, [("app/store.py", "class Store:\n    def load_all(self):\n        pass\n")], "path string, source string"), grouped=False)
+    sections = frame(spark, [("README.md", 0, "Loading", "Call `load_all()` on a Store to read what is there, as often as you like.", 3), ("README.md", 1, "Other", "nothing of the kind", 9)], "path string, section_no int, title string, text string, line int")
+    ask, answer = tmp_path / "ask.md", tmp_path / "answer.json"
+    same, why = built.deep(sections, str(answer), str(ask))
+    assert same is built and "no answer" in why and "### README.md#L3" in ask.read_text() and "L9" not in ask.read_text()
+    digest = re.search(r'"ask": "([0-9a-f]{16})"', ask.read_text())[1]
+    answer.write_text("{")
+    assert "no valid JSON" in built.deep(sections, str(answer), str(ask))[1]
+    answer.write_text(json.dumps({"ask": "other", "picks": {}}))
+    assert "other questions" in built.deep(sections, str(answer), str(ask))[1]
+    answer.write_text(json.dumps({"ask": digest, "picks": {"README.md#L3": ["app_store_store_load_all", "nowhere", 5]}}))
+    deep, told = built.deep(sections, str(answer), str(ask))
+    assert told == "1 id not on the candidate list, 1 pick was not an id"
+    assert {(r.source, r.target) for r in deep.edges.where("relation = 'describes'").collect()} == {("readme.md#document#L3", "app_store_store_load_all")}
+    assert "load_all [app/store.py:L2]" in deep.answer("how does load all work") and "described in" in deep.answer("how does load all work")
+
+
+def test_out_path(tmp_path):
+    from symbolary.sources.asks import out_path
+
+    assert out_path("/corpus", None, "/here") == "/here/symbolary-out/map" and out_path("/corpus", "/else/x") == "/else/x"
+    with pytest.raises(ValueError):
+        out_path(str(tmp_path), str(tmp_path / "map"))
