@@ -44,16 +44,11 @@ def _normal(line: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """(depth, normalised text) of each run of lines of one depth."""
-    start = F.array().cast("array<struct<depth:int,line:string>>")
-
-    def add(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        joined = F.struct(last["depth"].alias("depth"), F.concat(last["line"], F.lit(" "), x["line"]).alias("line"))
-        one = F.array(F.struct(x["depth"].alias("depth"), x["line"].alias("line")))
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["depth"] == x["depth"]), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, one))
-
-    return F.aggregate(lines, start, add)
+    """(depth, text) of each run of lines of one depth. `lines` is a column that is there already, as it is read line by line."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x["depth"] != F.get(lines, i - 1)["depth"]), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(lines), F.lit(1))), F.array(F.size(lines)))
+    spans = F.when(F.size(lines) > 0, F.arrays_zip(starts.alias("a"), ends.alias("b"))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    return F.transform(spans, lambda s: F.struct(F.get(lines, s["a"])["depth"].alias("depth"), F.array_join(F.transform(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), lambda x: x["line"]), " ").alias("line")))
 
 
 def _passages(found: DataFrame) -> DataFrame:
