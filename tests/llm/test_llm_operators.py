@@ -276,6 +276,45 @@ def test_exact_passages_behind_many_sources_that_lack_them(spark):
         start, n = got[(100 * k + 91, 100 * k + 90)]
         assert start <= 61 and start + n >= 111
 
+def test_open_anchors_are_one_row_for_each_document(spark):
+    anchors = spark.createDataFrame([(r, i, at) for i in range(20) for r, at in enumerate(range(0, 300, 5))], "run long, id long, at int")
+    # passages from token 0 to 99 and from 200 to 250; id 3 is covered, id 4 has none
+    found = [(i, 0, 104) for i in range(20) if i not in (3, 4)] + [(i, 200, 55) for i in range(20) if i not in (3, 4)] + [(3, 0, 400)]
+    got = substring_dedup._uncovered(anchors, spark.createDataFrame(found, "id long, start long, n_words long")).collect()
+    assert {r.id: r.places for r in got} == {i: list(range(0, 300, 5)) if i == 4 else [at for at in range(0, 300, 5) if not (at <= 88 or 200 <= at <= 239)] for i in range(20) if i != 3}
+    assert len(got) == 19
+
+
+def test_asked_passages_are_all_that_hold_a_place():
+    r = np.random.default_rng(3)
+    for seed in range(300):
+        base = r.integers(0, 2**63, 260).astype(np.uint64)
+        x, y = base.copy(), base.copy()
+        for side in (x, y):
+            for at in r.integers(0, 250, int(r.integers(0, 12))):
+                side[at : at + 5] = r.integers(0, 2**63, 5)
+        places = np.sort(r.integers(0, 240, 3))
+        whole = {int(p) for a, b, _ in substring_dedup.passages(x, y) for p in places if a <= p <= b - 11}
+        asked = {int(p) for a, b, _ in substring_dedup.passages(x, y, None, places) for p in places if a <= p <= b - 11}
+        assert whole <= asked
+
+
+def test_a_phrase_that_texts_repeat_is_dealt_once_for_each_text(spark):
+    phrase = text(30, 31)
+    data = [(i, " ".join(f"{text(22, 10_000 + 100 * i + k)} {phrase}" for k in range(40))) for i in range(60)]
+    data += [(100, f"{text(60, 1)} {PASSAGE} {text(20, 2)} {phrase}"), (101, f"{text(50, 3)} {PASSAGE} {text(20, 4)} {phrase}")]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    before = set(stages())
+    got = {(r.id, r.source_id) for r in substring_dedup.repeats(odd(spark, data)).collect()}
+    assert got == {(101, 100)}
+    assert sum(x for k, x in stages().items() if k not in before) < 5_000_000
+
 
 def brute_windows(tokens, t):
     """(first, last) of the largest spans of which every part of t tokens has one and the same least token, by minimum."""
