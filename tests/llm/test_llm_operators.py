@@ -297,6 +297,10 @@ def test_asked_passages_are_all_that_hold_a_place():
         whole = {int(p) for a, b, _ in substring_dedup.passages(x, y) for p in places if a <= p <= b - 11}
         asked = {int(p) for a, b, _ in substring_dedup.passages(x, y, None, places) for p in places if a <= p <= b - 11}
         assert whole <= asked
+        # a bound never turns down what is found
+        index = substring_dedup.Index([y])
+        may = [substring_dedup.may_hold(hit, where, substring_dedup.firsts(x), substring_dedup.firsts(y), places) for _, hit, where in index.near(x, places, 1)]
+        assert not asked or any(may)
 
 
 def test_a_phrase_that_texts_repeat_is_dealt_once_for_each_text(spark):
