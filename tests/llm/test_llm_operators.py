@@ -61,6 +61,28 @@ def test_chunks_round_trip(x):
     assert [i for p in parts for i in p] == whole and n == len(whole) and ids == ",".join(map(str, whole)) and decoded == t.model.decode(whole)
 
 
+def test_chunks_go_to_the_library_many_at_a_time():
+    t = sentencepiece_chunks.ChunkTable(MODEL)
+    texts = ["left out", None, "", "\n\n a\nb  \n", "a ▁b", " ", LONG, *(f"{text(40, k)}\r\n  \n{text(9, k + 1)} é本\x00" for k in range(60))]
+    want = [t.model.encode(x or "") for x in texts[1:]]
+    model, asked = t.model, []
+
+    class Counted:
+        def encode(self, x):
+            asked.append(len(x) if isinstance(x, list) else 1)
+            return model.encode(x)
+
+        def __getattr__(self, name):
+            return getattr(model, name)
+
+    t.model = Counted()
+    got = t.encode(pa.array(texts)[1:])
+    words = len(set(LONG.split()))
+    assert words > 3000 and sum(asked) < words / 100
+    assert [got.ids[a:b].tolist() for a, b in zip(got.id_ends, got.id_ends[1:])] == want and got.texts() == model.decode(want)
+    assert got.digests() == ([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want], [hashlib.sha256(x.encode()).hexdigest() for x in model.decode(want)])
+
+
 def test_quality(spark):
     docs = odd(spark)
     assert quality_qda.score(docs, quality_qda.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))).where("score = 0.5").count() == len(ODD)
