@@ -175,11 +175,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """All columns of docs and the score, in one pass without a shuffle; a column named like `out` is replaced."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))
+    @F.arrow_udf("double")  # pandas would stay in the workers' memory
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.scores(np.array([features(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))))
 
     return docs.withColumn(out, scored(docs[text_col]))
 

@@ -298,6 +298,20 @@ def test_exact_passages_behind_many_sources_that_lack_them(spark):
         start, n = got[(100 * k + 91, 100 * k + 90)]
         assert start <= 61 and start + n >= 111
 
+def test_places_of_an_anchor_in_a_text_are_one_row(spark):
+    # a line that two texts repeat, and a passage: rows do not grow with the repeats
+    texts = [(k, f"{text(60, k)} {'one line again ' * 300}{PASSAGE} {text(60, k + 9)}") for k in (1, 2, 3)]
+    whole = spark.createDataFrame([(k, [(0, len(substring_dedup.tokens_of(t)) - 1)]) for k, t in texts], "id long, areas array<struct<a: int, b: int>>")
+    got = substring_dedup._anchors(whole, common.packed(spark.createDataFrame(texts, "id long, text string"))).collect()
+    assert len({(r.run, r.id) for r in got}) == len(got)
+    for k, t in texts:
+        runs, places = substring_dedup.anchors_of(substring_dedup.tokens_of(t))
+        assert len(runs) > 2 * len(set(runs.tolist()))
+        assert sorted((r.run, p) for r in got if r.id == k for p in r.at) == sorted(zip(runs.view(np.int64).tolist(), places.tolist()))
+    covered = substring_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string")).where("id > 1").groupBy("id").agg({"n_words": "max"}).collect()
+    assert {r[0] for r in covered} == {2, 3} and all(r[1] >= 900 for r in covered)
+
+
 def test_open_anchors_are_one_row_for_each_document(spark):
     anchors = spark.createDataFrame([(r, i, at) for i in range(20) for r, at in enumerate(range(0, 300, 5))], "run long, id long, at int")
     # passages from token 0 to 99 and from 200 to 250; id 3 is covered, id 4 has none
