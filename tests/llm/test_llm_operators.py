@@ -298,6 +298,18 @@ def test_exact_passages_behind_many_sources_that_lack_them(spark):
         start, n = got[(100 * k + 91, 100 * k + 90)]
         assert start <= 61 and start + n >= 111
 
+def test_a_passage_is_one_row_with_all_its_sources(spark, monkeypatch):
+    found = [(9, s, a, n, x) for s, a, n, x in [(4, 0, 60, 1.0), (3, 0, 60, 0.9), (5, 5, 50, 0.9), (2, 20, 80, 0.8), (1, 40, 60, 1.0), (4, 200, 50, 1.0)]] + [(8, 1, 3, 50, 1.0)]
+    got = {(r.id, r.start): r for r in substring_dedup.widest(spark.createDataFrame(found, "id long, source_id long, start long, n_words long, similarity double")).collect()}
+    assert {k: (r.source_id, r.n_words, r.n_sources) for k, r in got.items()} == {(9, 0): (3, 60, 3), (9, 20): (2, 80, 2), (9, 200): (4, 50, 1), (8, 3): (1, 50, 1)}
+    assert sorted((r.id, *x) for r in got.values() for x in r.sources) == sorted(found)
+    # the query's rows: one for a passage, though different ones have different sources
+    data = [(1, f"{text(70, 1)} {text(60, 50)}"), (2, f"{text(60, 51)} {text(70, 2)}"), (3, f"{text(70, 1)} {text(70, 2)}"), (4, f"{text(70, 1)} {text(70, 2)} {text(80, 3)}")]
+    monkeypatch.setattr(substring_dedup, "table", lambda *a: odd(spark, data))
+    rows = {(r.doc_id, r.start): r for r in substring_dedup.op10_substring_dedup(spark, "").collect()}
+    assert [k for k in rows if k[0] == 4] == [(4, 0)] and rows[4, 0].n_words == 140 and {x.source_id for x in rows[4, 0].sources} >= {1, 3}
+
+
 def test_places_of_an_anchor_in_a_text_are_one_row(spark):
     # a line that two texts repeat, and a passage: rows do not grow with the repeats
     texts = [(k, f"{text(60, k)} {'one line again ' * 300}{PASSAGE} {text(60, k + 9)}") for k in (1, 2, 3)]
