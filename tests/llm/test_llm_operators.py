@@ -351,6 +351,28 @@ def test_asked_passages_are_all_that_hold_a_place():
         assert not asked or any(may)
 
 
+def test_texts_of_repeated_words_are_turned_down_before_they_are_verified():
+    r = np.random.default_rng(5)
+    stutter = lambda words: substring_dedup.tokens_of(" ".join(" ".join([w] * int(r.integers(8, 62))) for w in words))
+    passed = found = 0
+    for _ in range(200):
+        x, *others = (stutter([f"w{k}" for k in r.integers(0, 6, 6)]) for _ in range(5))
+        places = np.unique(r.integers(0, len(x) - 11, 4))
+        near = {j: (hit, where) for j, hit, where in substring_dedup.Index(others).near(x, places, 4)}
+        for j, y in enumerate(others):
+            asked = bool(substring_dedup.passages(x, y, None, places))
+            # the bounds do not change what is found
+            last = substring_dedup.firsts(x), substring_dedup.firsts(y)
+            assert substring_dedup.passages(x, y, None, places, *last) == substring_dedup.passages(x, y, None, places)
+            may = j in near and substring_dedup.may_hold(*near[j], *last, places)
+            assert may or not asked
+            passed, found = passed + (j in near), found + asked
+    # the word that two texts repeat is not a passage, nor are its neighbours those of the other text
+    assert 0 < found <= passed < 1.5 * found
+    texts = [b"", b"a b c", b"One two three four five six", b"a b c d e " * 30]
+    assert [x.tolist() for x in substring_dedup.all_tokens(texts)] == [substring_dedup.tokens_of(x).tolist() for x in texts]
+
+
 def test_a_phrase_that_texts_repeat_is_dealt_once_for_each_text(spark):
     phrase = text(30, 31)
     data = [(i, " ".join(f"{text(22, 10_000 + 100 * i + k)} {phrase}" for k in range(40))) for i in range(60)]
