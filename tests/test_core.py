@@ -209,3 +209,32 @@ def test_menus_grow_with_documents_and_parts_not_with_their_product(spark, tmp_p
         c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet{'/*.parquet' if t == 'documents' else ''}')")
     got = rows(q.Q["candidate_menu"](spark, str(tmp_path)).toPandas())
     assert len(got[1]) > 3000 and got == rows(c.sql(q.O["candidate_menu"]).df())
+
+
+def test_dangling_marks_ends_without_comparing_edges(spark):
+    n = frame(spark, [(x, x, "function", "f", 1) for x in "abb"], "id string, label string, kind string, file string, line int")
+    e = [("a", "b", "calls", True), ("a", "x", "calls", True), ("a", "x", "calls", True), ("y", "b", "calls", True), (None, "b", "calls", True), ("a", "z", "calls", False)]
+    got = graph.dangling(n, frame(spark, e, "source string, target string, relation string, resolved boolean"))
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in frame(spark, [x[:3] for x in (e[1], e[2], e[3], e[4])], "source string, target string, relation string").collect())
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("make", ["edges", "_by_nation"])
+def test_partitions_grow_with_the_tables(spark, monkeypatch, make):
+    from conftest import SF
+
+    from symbolary.plans import graph_queries
+    from symbolary.sources import shared
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        getattr(graph_queries, make)(spark, SF)
+        assert {k: spark.conf.get(k) for k in names} == before  # small tables ask for nothing
+        monkeypatch.setattr(shared, "PARTITION_BYTES", 5000)
+        getattr(graph_queries, make)(spark, SF)
+        assert int(spark.conf.get(names[0])) >= 20 and shared._bytes_of(spark.conf.get(names[1])) == shared.TASK_BYTES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [shared._bytes_of(x) for x in ("64MB", "8m", "1g", "5000", "5000b")] == [64 << 20, 8 << 20, 1 << 30, 5000, 5000]
