@@ -219,7 +219,7 @@ def test_dangling_marks_ends_without_comparing_edges(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("make", ["edges", "_by_nation"])
+@pytest.mark.parametrize("make", ["edges", "_sites", "_by_nation"])
 def test_partitions_grow_with_the_tables(spark, monkeypatch, make):
     from conftest import SF
 
